@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pathfold.llm import mixing, radix_dedup
+from pathfold.llm import bpe, langid, mixing, radix_dedup, tiff, toxicity
 
-MODULES = (mixing, radix_dedup)
+MODULES = (mixing, bpe, radix_dedup, tiff, toxicity, langid)
 
 QUERIES = {m.QUERY: m.query for m in MODULES}
 SQL = {m.QUERY: m.SQL for m in MODULES if m.SQL}

@@ -19,6 +19,8 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Also every other ASCII character that is neither letter nor digit.
+PUNCTUATION = SPACE | np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _POWERS: dict[int, np.ndarray] = {}
@@ -53,13 +55,15 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def _piece(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    space = SPACE[raw]
+def _piece(raw: np.ndarray, first: np.ndarray, table: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    space = table[raw]
     start = ~space
     start[1:] &= space[:-1] | first[1:]
     end = ~space
     end[:-1] &= space[1:] | first[1:]
     s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+    if most:
+        e = np.minimum(e, s + most)
     n = len(raw)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((LOWER[raw].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, n)[:n], out=total[1:])
@@ -67,20 +71,23 @@ def _piece(raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), s
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each row where its words begin (n + 1 values)."""
+def words(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACE, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and for each row where its words begin (n + 1 values).
+
+    table: which bytes stand between words; most: hash only so many first bytes of each.
+    """
     hashes, starts, at = [], [], 0
     while at < len(raw):
         to = min(at + PIECE, len(raw))
         if to < len(raw):
             reach = 256
             while to > at and to < len(raw):  # cut where a word ends
-                gap = np.flatnonzero(SPACE[raw[max(at, to - reach) : to]])
+                gap = np.flatnonzero(table[raw[max(at, to - reach) : to]])
                 if len(gap):
                     to = max(at, to - reach) + int(gap[-1]) + 1
                     break
                 if to - reach <= at:
-                    gap = np.flatnonzero(SPACE[raw[to : to + PIECE]])
+                    gap = np.flatnonzero(table[raw[to : to + PIECE]])
                     to = to + int(gap[0]) + 1 if len(gap) else min(to + PIECE, len(raw))
                     if len(gap):
                         break
@@ -89,7 +96,7 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         first = np.zeros(to - at, bool)
         here = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, to)] - at
         first[here] = True
-        h, s = _piece(raw[at:to], first)
+        h, s = _piece(raw[at:to], first, table, most)
         hashes.append(h)
         starts.append(s + at)
         at = to
