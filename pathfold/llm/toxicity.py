@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 from pathfold.llm import wordhash
 
 #: Labelled rows learnt from at most (a uniform draw by hash), and passes over them.
-SAMPLE = 6000
+SAMPLE = 12000
 PASSES = 8
-#: How much a toxic text counts for each other one.
-TOXIC_WEIGHT = 4.0
 #: Features in fewer texts of the sample are not learnt.
 LEAST_TEXTS = 3
 BITS = 22
@@ -68,7 +66,7 @@ class Ftrl:
         at = np.append(at, self.bias)
         w = self.weights(at)
         p = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35)))
-        g = (p - label) * (TOXIC_WEIGHT if label else 1.0)
+        g = p - label
         sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
         self.z[at] += g - sigma * w
         self.n[at] += g * g
