@@ -4,9 +4,9 @@ A document is the set of its distinct 5-word shingles (64-bit hashes). Shingles
 rarest first by exact document counts; documents whose shingles are shared too rarely to
 reach the threshold drop out. Documents with equal sets become one item; items with equal
 prefixes and size become one group. Groups that share a prefix shingle and fit in size are
-candidates: each is first compared with the least group of the shingle, which joins copies
-without listing all their pairs, and what is then still apart is expanded to its members and
-verified exactly.
+candidates unless the shingle stands too late in them. In some rounds the groups of a shingle
+are compared with one of them only, drawn by hash, which joins copies without listing their
+pairs; what is then still apart is expanded to its members and verified pair by pair.
 
 Edge cases: null and empty texts, and texts without words, have no shingles and link with
 nothing; fewer than five words make one shingle; rows that share an id count as one
@@ -31,7 +31,9 @@ WORDS = 5
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 3, 4
 #: Shingles that one task of the count holds, about.
-PER_BUCKET = 1_500_000
+PER_BUCKET = 3_000_000
+#: Rounds of comparing with one group at most, and the shrinkage that makes one worth while.
+ROUNDS, SHRINK = 8, 0.7
 _SHARED = np.dtype([("h", "<u8"), ("f", "<u4")])
 
 
@@ -116,22 +118,39 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prefix = shared["h"][np.lexsort((shared["h"], shared["f"]))][: max(0, n - need + 1 - spare)]
             own = wordhash.mix(prefix + np.arange(len(prefix), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             marks = [int(wordhash.mix(own ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) for salt in (3, 4)]
-            rows.append((key, n, *marks, prefix.view(np.int64), np.sort(shared["h"]).view(np.int64)))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["id", "n", "p1", "p2", "prefix", "shared"])
+            rows.append((key, n, spare, *marks, prefix.view(np.int64), np.sort(shared["h"]).view(np.int64)))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["id", "n", "spare", "p1", "p2", "prefix", "shared"])
 
 
-def fits(a: str, b: str):
-    """Whether sets of these sizes can reach the threshold."""
-    return F.least(a, b) * DENOMINATOR >= F.greatest(a, b) * NUMERATOR
+def near(n, i, m, j):
+    """Whether sets of sizes n and m whose first common shingle has positions i and j can
+    reach the threshold: by size, and by the shingles that are left from there."""
+    n, i, m, j = map(F.col, (n, i, m, j))
+    by_size = F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
+    return by_size & (F.least(n - i, m - j) * (NUMERATOR + DENOMINATOR) >= (n + m) * NUMERATOR)
 
 
 def verify(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) of items those whose sets reach the threshold."""
+    """The rows of pairs, with items a and b, whose sets reach the threshold."""
     left = items.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shared").alias("sa"))
     right = items.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    return both.filter(F.col("o") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("o")) * NUMERATOR).select("a", "b")
+    return both.filter(F.col("o") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("o")) * NUMERATOR).select(*pairs.columns)
+
+
+def several(index: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of the index, by component, of shingles that several components have."""
+    cells = index.join(placed.select("g", "comp").distinct(), "g")
+    mixed = cells.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("t")
+    return cells.join(mixed, "t").select("t", "g", "n", "i", "comp")
+
+
+def join_components(placed: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """placed with the components ca and cb of each link made one."""
+    part = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, f"{name}-cc")
+    moved = placed.join(part.withColumnRenamed("v", "comp"), "comp", "left")
+    return scratch.write(moved.select("id", "n", "g", F.coalesce("label", "comp").alias("comp")), name)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,43 +170,51 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     counted = dealt.groupBy("bucket").applyInArrow(_count, "id long, k long, shared binary")
     found = counted.groupBy("id").agg(F.sum("k").alias("m"), F.collect_list("shared").alias("parts")).join(kept, "id")
     found = found.filter(F.col("m") * DENOMINATOR >= F.col("n") * NUMERATOR).select("id", "n", "parts")
-    items = scratch.write(found.mapInArrow(_prepare, "id long, n long, p1 long, p2 long, prefix array<long>, shared array<long>"), "items")
+    items = scratch.write(found.mapInArrow(_prepare, "id long, n long, spare long, p1 long, p2 long, prefix array<long>, shared array<long>"), "items")
     del dealt, counted, found
     free_shuffles(spark)
 
     groups = items.groupBy("n", "p1", "p2").agg(F.min("id").alias("g"))
-    member = scratch.write(items.select("id", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).select("id", "n", "g"), "member")
-    heads = items.join(member.filter("id = g").select("id"), "id", "left_semi")
-    index = scratch.write(heads.select(F.explode("prefix").alias("t"), F.col("id").alias("g"), "n"), "index")
-    first = index.groupBy("t").agg(F.min(F.struct("g", "n")).alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    stars = index.join(first.select("t", F.col("least.g").alias("b"), F.col("least.n").alias("nb")), "t").filter((F.col("g") != F.col("b")) & fits("n", "nb"))
-    stars = stars.select(F.col("g").alias("a"), "b").unionAll(member.filter("id <> g").select(F.col("id").alias("a"), F.col("g").alias("b"))).distinct()
-    links = scratch.write(verify(stars, items), "links1")
-    free_shuffles(spark)
-
-    part = components(links, scratch, "cc1")
-    placed = member.join(part.withColumnRenamed("v", "id"), "id", "left").select("id", "n", "g", F.coalesce("label", "id").alias("comp"))
+    placed = items.select("id", "n", "p1", "p2").join(groups, ["n", "p1", "p2"]).select("id", "n", "g", F.col("id").alias("comp"))
     placed = scratch.write(placed, "placed")
-    cells = placed.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("k"))
-    cell_index = index.join(cells, "g")
-    by_comp = cell_index.groupBy("t", "comp").agg(F.sum("k").alias("k"))
-    mixed = by_comp.groupBy("t").agg(F.max(F.struct("k", "comp")).alias("most"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    open_cells = cell_index.join(mixed.select("t", F.col("most.comp").alias("main")), "t").select("t", "g", "n", "comp", "main")
-    open_cells = scratch.write(open_cells, "cells")
-    x, y = open_cells.filter("comp <> main").alias("x"), open_cells.alias("y")
+    heads = items.join(placed.filter("id = g").select("id"), "id", "left_semi")
+    index = heads.select("spare", F.posexplode("prefix").alias("k", "t"), F.col("id").alias("g"), "n").select("t", "g", "n", (F.col("k") + F.col("spare")).alias("i"))
+    members = placed.filter("id <> g").select(F.col("id").alias("a"), F.col("id").alias("ca"), F.col("g").alias("b"), F.col("g").alias("cb"))
+    placed = join_components(placed, scratch.write(verify(members, items), "links"), scratch, "placed-m")
+    apart = scratch.write(several(index, placed), "apart")
+    left = apart.count()
+    for k in range(ROUNDS):
+        if not left:
+            break
+        one = apart.groupBy("t").agg(F.min(F.struct(F.xxhash64("g", F.lit(k)).alias("h"), "g", "n", "i", "comp")).alias("p"))
+        one = one.select("t", F.col("p.g").alias("pg"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi"), F.col("p.comp").alias("cb"))
+        met = apart.join(one, "t").filter((F.col("comp") != F.col("cb")) & near("n", "i", "pn", "pi")).select("g", F.col("comp").alias("ca"), "pg", "cb").distinct()
+        least = placed.groupBy("g", "comp").agg(F.min("id").alias("id"))
+        a = least.select("g", F.col("comp").alias("ca"), F.col("id").alias("a"))
+        b = least.select(F.col("g").alias("pg"), F.col("comp").alias("cb"), F.col("id").alias("b"))
+        met = met.join(a, ["g", "ca"]).join(b, ["pg", "cb"]).select("a", "ca", "b", "cb")
+        placed = join_components(placed, scratch.write(verify(met, items), f"links{k}"), scratch, f"placed{k}")
+        apart = scratch.write(several(apart.select("t", "g", "n", "i").distinct(), placed), f"apart{k}")
+        free_shuffles(spark)
+        before, left = left, apart.count()
+        if left > SHRINK * before:
+            break
+
+    most = apart.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max(F.struct("c", "comp")).alias("m")).select("t", F.col("m.comp").alias("main"))
+    y = apart.join(most, "t").alias("y")
+    x = apart.join(most, "t").filter("comp <> main").alias("x")
     once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.comp") < F.col("y.comp"))
-    apart = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.comp") != F.col("y.comp")) & once & fits("x.n", "y.n"))
-    apart = apart.select(F.col("x.g").alias("ga"), F.col("x.comp").alias("ca"), F.col("y.g").alias("gb"), F.col("y.comp").alias("cb")).distinct()
+    last = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.comp") != F.col("y.comp")) & once & near("x.n", "x.i", "y.n", "y.i"))
+    last = last.select(F.col("x.g").alias("ga"), F.col("x.comp").alias("ca"), F.col("y.g").alias("gb"), F.col("y.comp").alias("cb")).distinct()
     a = placed.select(F.col("id").alias("a"), F.col("g").alias("ga"), F.col("comp").alias("ca"))
     b = placed.select(F.col("id").alias("b"), F.col("g").alias("gb"), F.col("comp").alias("cb"))
-    pairs = apart.join(a, ["ga", "ca"]).join(b, ["gb", "cb"]).select("a", "b").distinct()
-    more = scratch.write(verify(pairs, items), "links2")
+    pairs = last.join(a, ["ga", "ca"]).join(b, ["gb", "cb"]).select("a", "ca", "b", "cb").distinct()
+    placed = join_components(placed, scratch.write(verify(pairs, items), "links-last"), scratch, "placed-last")
     free_shuffles(spark)
 
-    every = links.unionAll(more).unionAll(same.select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    final = components(every, scratch, "cc2")
-    out = meta.join(final.withColumnRenamed("v", "id"), "id", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))
+    out = meta.join(same, "id", "left").withColumn("key", F.coalesce("rep", "id"))
+    out = out.join(placed.select(F.col("id").alias("key"), "comp"), "key", "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("comp", "key").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
