@@ -38,7 +38,6 @@ COLUMNS = WINDOW - 1 + LENGTH
 FLAGS = -(-WINDOW // 8)
 #: Bytes of text for each shard of anchors and of contexts.
 ANCHOR_BYTES, CONTEXT_BYTES = 50_000_000, 8_000_000
-_NEVER = 1 << 20
 
 
 class Block:
@@ -145,13 +144,13 @@ def _range_max(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_strings(rows: np.ndarray, absent: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """For aligned rows, ordered by group, whether the LENGTH columns from each column (of the
-    first WINDOW) are those of another row of the group. absent: cells that match nothing."""
+def repeated_strings(rows: np.ndarray, absent: np.ndarray) -> np.ndarray:
+    """For aligned rows whether the LENGTH columns from each column (of the first WINDOW) are
+    those of another row. absent: cells that match nothing. Rows of different anchors may be
+    given together: equal strings have equal anchors."""
     n, columns = rows.shape
     order = np.arange(n)
     since = np.zeros(n, np.int64)
-    since[np.flatnonzero(np.r_[True, group[1:] != group[:-1]])] = _NEVER
     out = np.zeros((n, WINDOW), bool)
     for k in range(columns):
         symbol = rows[order, k]
@@ -195,7 +194,7 @@ def _merge(folder: str):
                 to = WINDOW - 1 - lead[at[r]]
                 rows[i, to : to + len(text)] = text
                 absent[i, to : to + len(text)] = False
-            flags[open_rows] = repeated_strings(rows, absent, groups[open_rows])
+            flags[open_rows] = repeated_strings(rows, absent)
         for r in np.flatnonzero(count > 1):
             flags[r] = True
         packed = np.packbits(flags, axis=1)
