@@ -33,7 +33,7 @@ NUMERATOR, DENOMINATOR = 3, 4
 #: Shingles that one task of the count holds, about.
 PER_BUCKET = 3_000_000
 #: Rounds of comparing with one group at most, and the shrinkage that makes one worth while.
-ROUNDS, SHRINK = 8, 0.7
+ROUNDS, SHRINK = 12, 0.9
 _SHARED = np.dtype([("h", "<u8"), ("f", "<u4")])
 
 
@@ -204,8 +204,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     y = apart.join(most, "t").alias("y")
     x = apart.join(most, "t").filter("comp <> main").alias("x")
     once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.comp") < F.col("y.comp"))
-    last = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.comp") != F.col("y.comp")) & once & near("x.n", "x.i", "y.n", "y.i"))
-    last = last.select(F.col("x.g").alias("ga"), F.col("x.comp").alias("ca"), F.col("y.g").alias("gb"), F.col("y.comp").alias("cb")).distinct()
+    last = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.comp") != F.col("y.comp")) & once)
+    turn = F.col("x.comp") < F.col("y.comp")
+    side = lambda c, new, other: F.when(turn == F.lit(other), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(new)
+    last = last.select(*(side(c, c + "a", True) for c in ("g", "comp", "n", "i")), *(side(c, c + "b", False) for c in ("g", "comp", "n", "i")))
+    last = last.groupBy("ga", "compa", "gb", "compb", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    # beyond the last common shingle of the prefixes no more than what is left can be common
+    most = F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    last = last.filter(most * (NUMERATOR + DENOMINATOR) >= (F.col("na") + F.col("nb")) * NUMERATOR)
+    last = last.select("ga", F.col("compa").alias("ca"), "gb", F.col("compb").alias("cb"))
     a = placed.select(F.col("id").alias("a"), F.col("g").alias("ga"), F.col("comp").alias("ca"))
     b = placed.select(F.col("id").alias("b"), F.col("g").alias("gb"), F.col("comp").alias("cb"))
     pairs = last.join(a, ["ga", "ca"]).join(b, ["gb", "cb"]).select("a", "ca", "b", "cb").distinct()
