@@ -53,7 +53,7 @@ class Ftrl:
 
     def __init__(self, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
+        self.z, self.n = np.zeros((1 << bits) + 1, np.float32), np.zeros((1 << bits) + 1, np.float32)
         self.bias = 1 << bits
 
     def weights(self, at: np.ndarray) -> np.ndarray:
@@ -101,17 +101,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = rows.select("__id", "text", "__label").mapInArrow(hashed, f"id {kind}, label int, features binary").toLocalIterator(prefetchPartitions=False)
-    learner, kept = Ftrl(), []
+    kept, texts = [], np.zeros(1 << BITS, np.int32)
     for row in found:
-        kept.append((wordhash.mix(np.array([row["id"]], np.int64).view(np.uint64))[0] if isinstance(row["id"], int) else hash(str(row["id"])), row["label"], np.frombuffer(row["features"], "<u4").astype(np.uint32)))
+        kept.append((wordhash.mix(np.array([row["id"]], np.int64).view(np.uint64))[0] if isinstance(row["id"], int) else hash(str(row["id"])), row["label"], np.frombuffer(row["features"], "<u4")))
+        texts[kept[-1][2]] += 1
     kept.sort(key=lambda x: (int(x[0]), x[1], x[2].tobytes()))
-    feature, texts = np.unique(np.concatenate([x[2] for x in kept] or [np.zeros(0, np.uint32)]), return_counts=True)
-    common = np.zeros(1 << BITS, bool)
-    common[feature[texts >= LEAST_TEXTS]] = True
-    texts_left = [(label, at[common[at]].astype(np.int64)) for _, label, at in kept]
+    texts_left = [(label, at[texts[at] >= LEAST_TEXTS]) for _, label, at in kept]
+    del kept, texts
+    learner = Ftrl()
     for _ in range(PASSES):
         for label, at in texts_left:
-            learner.learn(at, label)
+            learner.learn(at.astype(np.int64), label)
     return learner.compact()
 
 
