@@ -11,6 +11,7 @@ from; repeated rows are scored alike; other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     found = rows.select("__id", "text", "__label").mapInArrow(hashed, f"id {kind}, label int, features binary").toLocalIterator(prefetchPartitions=False)
     kept, texts = [], np.zeros(1 << BITS, np.int32)
     for row in found:
-        kept.append((wordhash.mix(np.array([row["id"]], np.int64).view(np.uint64))[0] if isinstance(row["id"], int) else hash(str(row["id"])), row["label"], np.frombuffer(row["features"], "<u4")))
+        kept.append((wordhash.mix(np.array([row["id"]], np.int64).view(np.uint64))[0] if isinstance(row["id"], int) else zlib.crc32(str(row["id"]).encode()), row["label"], np.frombuffer(row["features"], "<u4")))
         texts[kept[-1][2]] += 1
     kept.sort(key=lambda x: (int(x[0]), x[1], x[2].tobytes()))
     texts_left = [(label, at[texts[at] >= LEAST_TEXTS]) for _, label, at in kept]
