@@ -5,7 +5,7 @@ rarest first by exact document counts; documents whose shingles are shared too r
 reach the threshold drop out. Documents with equal sets become one item; items with equal
 prefixes and size become one group. Groups that share a prefix shingle and fit in size are
 candidates unless the shingle stands too late in them. In some rounds the groups of a shingle
-are compared with one of them only, drawn by hash, which joins copies without listing their
+are compared with a few of them only, drawn by hash, which joins copies without listing their
 pairs; what is then still apart is expanded to its members and verified pair by pair.
 
 Edge cases: null and empty texts, and texts without words, have no shingles and link with
@@ -32,8 +32,9 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
 #: Shingles that one task of the count holds, about.
 PER_BUCKET = 3_000_000
-#: Rounds of comparing with one group at most, and the shrinkage that makes one worth while.
-ROUNDS, SHRINK = 12, 0.9
+#: Rounds of comparing with drawn groups at most (1, 2, 4, ... draws); they end when all pairs
+#: of groups that are still apart are no more than so many times the index rows.
+ROUNDS, PAIRS = 4, 1.0
 _SHARED = np.dtype([("h", "<u8"), ("f", "<u4")])
 
 
@@ -146,6 +147,35 @@ def several(index: DataFrame, placed: DataFrame) -> DataFrame:
     return cells.join(mixed, "t").select("t", "g", "n", "i", "comp")
 
 
+def open_pairs(apart: DataFrame) -> tuple[int, int]:
+    """How many rows the index of several components has, and how many pairs across."""
+    by_comp = apart.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("c"))
+    by_shingle = by_comp.groupBy("t").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
+    cells, pairs = by_shingle.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("own")) / 2)).first()
+    return int(cells or 0), int(pairs or 0)
+
+
+def candidates(apart: DataFrame) -> DataFrame:
+    """Pairs of groups ga, gb of different components ca, cb that can reach the threshold.
+
+    near() holds for the first of the common shingles, as near() of a later one implies that
+    of an earlier one; so the pairs met are counted from the front, and beyond the last of
+    them no more than what is left can be common.
+    """
+    most = apart.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max(F.struct("c", "comp")).alias("m")).select("t", F.col("m.comp").alias("main"))
+    y = apart.join(most, "t").select("t", "main", *(F.col(c).alias(c + "b") for c in ("g", "comp", "n", "i")))
+    x = apart.join(most, "t").filter("comp <> main").select("t", *(F.col(c).alias(c + "a") for c in ("g", "comp", "n", "i")))
+    once = (F.col("compb") == F.col("main")) | (F.col("compa") < F.col("compb"))
+    met = x.join(y, "t").filter((F.col("compa") != F.col("compb")) & once & near("na", "ia", "nb", "ib"))
+    turn = F.col("compa") < F.col("compb")
+    side = lambda c, new, other: F.when(turn == F.lit(other), F.col(f"{c}a")).otherwise(F.col(f"{c}b")).alias(new)
+    met = met.select(*(side(c, c + "a", True) for c in ("g", "comp", "n", "i")), *(side(c, c + "b", False) for c in ("g", "comp", "n", "i")))
+    met = met.groupBy("ga", "compa", "gb", "compb", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    bound = F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    met = met.filter(bound * (NUMERATOR + DENOMINATOR) >= (F.col("na") + F.col("nb")) * NUMERATOR)
+    return met.select("ga", F.col("compa").alias("ca"), "gb", F.col("compb").alias("cb"))
+
+
 def join_components(placed: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """placed with the components ca and cb of each link made one."""
     part = components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch, f"{name}-cc")
@@ -182,11 +212,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = placed.filter("id <> g").select(F.col("id").alias("a"), F.col("id").alias("ca"), F.col("g").alias("b"), F.col("g").alias("cb"))
     placed = join_components(placed, scratch.write(verify(members, items), "links"), scratch, "placed-m")
     apart = scratch.write(several(index, placed), "apart")
-    left = apart.count()
+    cells, pairs = open_pairs(apart)
     for k in range(ROUNDS):
-        if not left:
+        if pairs <= PAIRS * cells:
             break
-        one = apart.groupBy("t").agg(F.min(F.struct(F.xxhash64("g", F.lit(k)).alias("h"), "g", "n", "i", "comp")).alias("p"))
+        draws = [F.min(F.struct(F.xxhash64("g", F.lit(seed)).alias("h"), "g", "n", "i", "comp")) for seed in range(1 << k, 2 << k)]
+        picks = F.array_distinct(F.transform(F.array(*draws), lambda p: p.dropFields("h")))
+        one = apart.groupBy("t").agg(picks.alias("p")).select("t", F.explode("p").alias("p"))
         one = one.select("t", F.col("p.g").alias("pg"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi"), F.col("p.comp").alias("cb"))
         met = apart.join(one, "t").filter((F.col("comp") != F.col("cb")) & near("n", "i", "pn", "pi")).select("g", F.col("comp").alias("ca"), "pg", "cb").distinct()
         least = placed.groupBy("g", "comp").agg(F.min("id").alias("id"))
@@ -196,23 +228,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = join_components(placed, scratch.write(verify(met, items), f"links{k}"), scratch, f"placed{k}")
         apart = scratch.write(several(apart.select("t", "g", "n", "i").distinct(), placed), f"apart{k}")
         free_shuffles(spark)
-        before, left = left, apart.count()
-        if left > SHRINK * before:
+        before = pairs
+        cells, pairs = open_pairs(apart)
+        if pairs == before:
             break
 
-    most = apart.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("t").agg(F.max(F.struct("c", "comp")).alias("m")).select("t", F.col("m.comp").alias("main"))
-    y = apart.join(most, "t").alias("y")
-    x = apart.join(most, "t").filter("comp <> main").alias("x")
-    once = (F.col("y.comp") == F.col("y.main")) | (F.col("x.comp") < F.col("y.comp"))
-    last = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.comp") != F.col("y.comp")) & once)
-    turn = F.col("x.comp") < F.col("y.comp")
-    side = lambda c, new, other: F.when(turn == F.lit(other), F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")).alias(new)
-    last = last.select(*(side(c, c + "a", True) for c in ("g", "comp", "n", "i")), *(side(c, c + "b", False) for c in ("g", "comp", "n", "i")))
-    last = last.groupBy("ga", "compa", "gb", "compb", "na", "nb").agg(F.count(F.lit(1)).alias("c"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
-    # beyond the last common shingle of the prefixes no more than what is left can be common
-    most = F.col("c") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-    last = last.filter(most * (NUMERATOR + DENOMINATOR) >= (F.col("na") + F.col("nb")) * NUMERATOR)
-    last = last.select("ga", F.col("compa").alias("ca"), "gb", F.col("compb").alias("cb"))
+    last = candidates(apart)
     a = placed.select(F.col("id").alias("a"), F.col("g").alias("ga"), F.col("comp").alias("ca"))
     b = placed.select(F.col("id").alias("b"), F.col("g").alias("gb"), F.col("comp").alias("cb"))
     pairs = last.join(a, ["ga", "ca"]).join(b, ["gb", "cb"]).select("a", "ca", "b", "cb").distinct()
