@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 #: The contraction, letter, number, other and space classes of the pre-split.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words that a worker remembers before it forgets all.
+#: Words, and also arcs, that a worker remembers before it forgets all of them.
 REMEMBERED = 400_000
 
 
@@ -79,7 +79,7 @@ class Automaton:
                 q = self.parent[q]
             else:
                 t = self.left[t]
-        if len(self._arc) > 4 * REMEMBERED:
+        if len(self._arc) > REMEMBERED:
             self._arc.clear()
         self._arc[key] = not q
         return not q
