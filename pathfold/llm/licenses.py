@@ -2,7 +2,10 @@
 
 Lines that look like a notice are cut out of whole texts; each becomes a sparse TF-IDF
 vector with document frequencies over all notices and templates, and takes the template of
-highest cosine if that reaches the threshold. A file without a license of its own inherits
+highest cosine if that reaches the threshold. Besides, the spans of each whole text are
+compared with standard headers, whole licences and the templates (license_match), so headers
+of several lines, licence files, notices within a longer line and SPDX lines count too;
+"all rights reserved" counts only where no licence is found. A file without a license of its own inherits
 that of the nearest directory above it that holds a licence file, by joins on path prefixes.
 
 Edge cases: null and empty texts have no notice; a null path has no directory and inherits
@@ -13,9 +16,11 @@ answered alike; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathfold.llm import license_match
 from pathfold.scratch import Scratch
 
 #: Short notices of common licenses.
@@ -35,11 +40,22 @@ LICENCE_FILE = "(?i)^(licen[cs]e|copying)([.].*)?$"
 THRESHOLD = 0.6
 
 
+def _spans(text):
+    """license_match on the texts with a keyword: struct<name, cosine> or NULL."""
+    matcher = license_match.Matcher(list(TEMPLATES.items()) + license_match.licence_texts())
+
+    @F.pandas_udf("name string, cosine double")
+    def best(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([matcher.best(t) or (None, None) for t in texts], columns=["name", "cosine"]).astype({"name": object, "cosine": float})
+
+    return best(F.when(text.rlike(f"(?i){license_match.KEYWORD}"), text))
+
+
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, path, own_license, similarity, license, inherited_from for every file."""
     spark = files.sparkSession
     lines = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda x: x.rlike(f"(?i){NOTICE}"))
-    base = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), lines.alias("lines"))
+    base = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), lines.alias("lines"), _spans(F.col(text_col).cast("string")).alias("span"))
     base = Scratch(spark, "licenses").write(base, "lines")  # texts are read once
     terms = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
     notices = base.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n")).withColumn("terms", terms(F.col("line")))
@@ -58,6 +74,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_co
     near = vectors(notices, "line").join(goal, "term").groupBy("line", "name").agg(F.round(F.sum(F.col("w") * F.col("v")), 6).alias("cosine"))
     best = near.filter(F.col("cosine") >= THRESHOLD).groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "name")).alias("m"))
     found = base.select("doc_id", "path", F.explode("lines").alias("line")).join(best, "line")
+    whole = base.filter("span.name IS NOT NULL").select("doc_id", "path", (-F.col("span.cosine")).alias("c"), F.col("span.name").alias("name"))
+    found = found.select("doc_id", "path", "m.c", "m.name").unionAll(whole)
+    found = found.withColumn("m", F.struct((F.col("name") == license_match.LAST).alias("last"), "c", "name"))
     own = found.groupBy("doc_id", "path").agg(F.min("m").alias("m")).select("doc_id", "path", F.col("m.name").alias("own_license"), (-F.col("m.c")).alias("similarity"))
     named = own.filter(F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE))
     held = named.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", "")).groupBy("dir").agg(F.min(F.struct((-F.col("similarity")).alias("c"), "own_license")).alias("m"))

@@ -216,6 +216,25 @@ def test_licenses(spark):
     assert got == {1: ("MIT", "MIT", None), 2: (None, "MIT", "a"), 3: ("Apache-2.0", "Apache-2.0", None), 4: (None, None, None), 5: (None, None, None), 6: (None, None, None)}
 
 
+def test_license_headers_files_and_spans(spark):
+    whole = dict(licenses.license_match.licence_texts())  # of each licence its last file, the whole text
+    gpl = "#!/bin/sh\n# Tool to mend things. Copyright (C) 2020 Some One\n#\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU General Public License for more details.\n#\n# You should have received a copy of the GNU General Public License\n# along with this program.  If not, see <http://www.gnu.org/licenses/>.\nset -e\necho ready\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\nint main() { return 0; }\n"
+    apache = "// Copyright 2015 The Authors\n//\n// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License.\n"
+    rows = {
+        gpl: "GPL-3.0", gpl.replace("version 3 of", "version 2 of"): "GPL-2.0", gpl.replace("GNU General", "GNU Lesser General"): "LGPL-3.0", mpl: "MPL-2.0", apache: "Apache-2.0",
+        "Copyright (c) 2001 A. All rights reserved.\n\n" + whole["BSD-3-Clause"]: "BSD-3-Clause", "Copyright (c) 2001 A\n\n" + whole["BSD-2-Clause"]: "BSD-2-Clause", whole["MIT"].replace("MIT License", "Copyright (c) 2001 A"): "MIT",
+        whole["GPL-3.0"]: "GPL-3.0", whole["Apache-2.0"]: "Apache-2.0", whole["MPL-2.0"]: "MPL-2.0",
+        "// SPDX-License-Identifier: MIT\nint x;": "MIT", "# SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "# SPDX-License-Identifier: MIT OR Apache-2.0": "MIT OR Apache-2.0",
+        "Intro text of several words. Released under the MIT License. Thanks to all.": "MIT", "some words released under the mit license some words": "MIT",
+        "All rights reserved.": "Proprietary", "We read about copyright and the licence to fish in this river.": None,
+    }
+    df = spark.createDataFrame([(i, f"d/{i}.c", t) for i, t in enumerate(rows)], "doc_id int, path string, text string")
+    assert {r["doc_id"]: r["own_license"] for r in licenses.scan(df).collect()} == dict(enumerate(rows.values()))
+    for name, text in [*licenses.TEMPLATES.items(), *licenses.license_match.licence_texts()]:
+        assert re.search(licenses.license_match.KEYWORD, text, re.I), name
+
+
 def test_pipeline_keeps_columns(spark, tmp_path):
     import corpus_pipeline
 
