@@ -10,12 +10,15 @@ from pathfold.functions import scalar
 FEWEST, MOST = 2, 12
 
 
-def blast_questions(edges: DataFrame, coverage: DataFrame | None = None) -> DataFrame:
-    """symbol, expected: two-hop dependents and covering tests, if there are 2 to 12."""
+def blast_questions(edges: DataFrame, coverage: DataFrame | None = None, tests: DataFrame | None = None) -> DataFrame:
+    """symbol, expected: two-hop dependents and covering tests, if there are 2 to 12. Tests
+    (node) are no dependents, but paths may pass through them."""
     e = edges.select("src", "dst").distinct()
     one = e.select(F.col("dst").alias("symbol"), F.col("src").alias("item"))
     two = one.join(e.select(F.col("dst").alias("item"), F.col("src").alias("far")), "item").select("symbol", F.col("far").alias("item"))
     every = one.unionAll(two)
+    if tests is not None:
+        every = every.join(tests.select(F.col("node").alias("item")), "item", "left_anti").select("symbol", "item")
     if coverage is not None:
         every = every.unionAll(coverage.filter("fraction >= 0.1").select("symbol", F.col("test").alias("item")))
     every = every.filter("item <> symbol").distinct()

@@ -268,6 +268,22 @@ def topological_order(spark, d):
     return graph.topological_order(dependency_depth(spark, d))
 
 
+def _call_depth(v: View) -> DataFrame:
+    """Depth over all call edges, static and dynamic; their cycles are condensed."""
+    e = v.edges
+    return graph.dependency_depth(e, graph.components(e, graph.nodes_of(e)))
+
+
+@query("dependency_depth_calls")
+def dependency_depth_calls(spark, d):
+    return _call_depth(View(spark, d))
+
+
+@query("topological_order_calls")
+def topological_order_calls(spark, d):
+    return graph.topological_order(_call_depth(View(spark, d)))
+
+
 
 @query("components")
 def components(spark, d):
@@ -392,6 +408,16 @@ def blast_questions(spark, d):
     return q.select("symbol", F.array_join("expected", ",").alias("expected"))
 
 
+@query(
+    "blast_questions_calls",
+    STATIC + ", one AS (SELECT dst AS symbol, src AS item FROM statics), every_one AS (SELECT * FROM one UNION SELECT symbol, statics.src FROM one JOIN statics ON statics.dst = item) SELECT symbol, array_to_string(list_sort(list(item)), ',') AS expected FROM every_one WHERE item <> symbol AND item NOT IN (SELECT path FROM files WHERE is_test) GROUP BY symbol HAVING count(*) BETWEEN 2 AND 12",
+)
+def blast_questions_calls(spark, d):
+    v = View(spark, d)
+    q = probes.blast_questions(v.call_sites.filter("static"), tests=v.files.filter("is_test").select(F.col("path").alias("node")))
+    return q.select("symbol", F.array_join(F.col("expected").cast("array<string>"), ",").alias("expected"))
+
+
 
 def _events(v: View) -> DataFrame:
     e = v.table("events")
