@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pathfold.functions import scalar
 from pathfold.operators import backtest, coupling, graph, history, probes, ranking
+from pathfold.scratch import Scratch
 from pathfold.sources.binding import View
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -320,6 +321,43 @@ def reading_path(spark, d):
     return ranking.tiers(ranking.top(_score(View(spark, d)), 40)).select("symbol", "score", "tier")
 
 
+def _signals(v: View) -> dict[str, DataFrame]:
+    """path and value of the six signals that need no task, not normalised."""
+    changes = _changes(v)
+    rank = graph.pagerank(v.edges, graph.nodes_of(v.edges)).join(v.files.filter("NOT is_test").select(F.col("path").alias("node")), "node", "left_semi")
+    found = {
+        "centrality": rank.select(F.col("node").alias("path"), (F.col("rank") * 1000).alias("value")),
+        "churn": history.churn(changes).withColumnRenamed("churn", "value"),
+        "hidden_coupling": coupling.coupling_score(_hidden(v)).withColumnRenamed("coupling", "value"),
+        "fix_density": history.fix_density(changes).withColumnRenamed("fix_density", "value"),
+        "orphaning": history.orphaning(v.authorship, v.now).select("path", F.col("orphaning").alias("value")),
+        "ai_density": history.ai_density(changes).withColumnRenamed("ai_density", "value"),
+    }
+    return {k: _round(x, "value") for k, x in found.items()}  # so that equal sums tie
+
+
+def _score_all(v: View) -> DataFrame:
+    """Each signal is spread to its file's symbols and ranked over all of them."""
+    scratch = Scratch(v.spark, "score")
+    of = scratch.write(v.symbols.select("symbol", "path", "is_test", "generated"), "symbols")
+    spread = {k: ranking.percentile_rank(of.join(scratch.write(x, k), "path").select("symbol", "value"), "symbol", "value", "rank").withColumnRenamed("rank", "value") for k, x in _signals(v).items()}
+    return _round(ranking.weighted_score(of, spread), "score")
+
+
+@query("composite_score_all")
+def composite_score_all(spark, d):
+    return _score_all(View(spark, d)).select("symbol", "score")
+
+
+@query("reading_path_all")
+def reading_path_all(spark, d):
+    v = View(spark, d)
+    chosen = Scratch(spark, "path").write(ranking.tiers(ranking.top(_score_all(v), 40)).select("symbol", "score", "tier"), "chosen")
+    depth = _call_depth(v).withColumnRenamed("node", "path")
+    depth = v.symbols.join(chosen, "symbol", "left_semi").join(depth, "path").select("symbol", "depth")
+    return ranking.sequence(chosen, depth).select("symbol", "score", "tier", "depth")
+
+
 ORDERED = ", ordered AS (SELECT *, row_number() OVER (ORDER BY ts, hash) - 1 AS pos FROM commits), newcomer AS (SELECT author, min(pos) AS first_pos, arg_min(ts, pos) AS first_seen FROM ordered GROUP BY author HAVING min(pos) >= 100)"
 CASES = ORDERED + """, born AS (SELECT path, min(pos) AS born FROM commit_files JOIN ordered USING (hash) GROUP BY path),
 touched AS (SELECT DISTINCT n.author, first_seen, first_pos, path FROM newcomer n JOIN ordered o ON o.author = n.author AND o.ts <= first_seen + INTERVAL 90 DAY JOIN commit_files USING (hash)),
