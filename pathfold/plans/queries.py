@@ -107,10 +107,12 @@ def authorship(spark, d):
 
 
 def _baseline(name: str, sql: str, f: Callable[[View], DataFrame]) -> None:
+    """The first 50 files, and as baseline_<name>_all the whole ranking."""
     indexed = "WHERE value > 0 AND path IN (SELECT path FROM symbols WHERE NOT is_test)"
-    query(f"baseline_{name}", f"SELECT path, CAST(value AS DOUBLE) AS value, row_number() OVER (ORDER BY value DESC, path) AS pos FROM ({sql}) {indexed} QUALIFY pos <= 50")(
-        lambda spark, d: backtest.rank_files(history.only_indexed(f(v := View(spark, d)), v.symbols)).filter("pos <= 50")
-    )
+    ranked = f"SELECT path, CAST(value AS DOUBLE) AS value, row_number() OVER (ORDER BY value DESC, path) AS pos FROM ({sql}) {indexed}"
+    rank = lambda spark, d: backtest.rank_files(history.only_indexed(f(v := View(spark, d)), v.symbols))
+    query(f"baseline_{name}", f"{ranked} QUALIFY pos <= 50")(lambda spark, d: rank(spark, d).filter("pos <= 50"))
+    query(f"baseline_{name}_all", ranked)(rank)
 
 
 _baseline("churned", "SELECT path, count(*) AS value FROM changes GROUP BY path", lambda v: history.most_churned(_changes(v)))
