@@ -249,7 +249,7 @@ def pagerank(spark, d):
 @query("personalized_pagerank")
 def personalized_pagerank(spark, d):
     e = View(spark, d).edges
-    return graph.pagerank(e, graph.nodes_of(e), _seed(spark).withColumn("weight", F.lit(1.0)), rounds=20).select("node", F.round(F.col("rank") * 1000, 6).alias("rank"))
+    return graph.pagerank(e, graph.nodes_of(e), _seed(spark).withColumn("weight", F.lit(1.0))).select("node", F.round(F.col("rank") * 1000, 6).alias("rank"))
 
 
 DAG = ", dag AS (SELECT DISTINCT from_pkg AS src, to_pkg AS dst FROM imports), dag_nodes AS (SELECT src AS node FROM dag UNION SELECT dst FROM dag)"
