@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathfold.llm import wordhash
-from pathfold.llm.jaccard import _binary
+from pathfold.llm.jaccard import binary
 from pathfold.scratch import Scratch, free_shuffles
 
 END, BEGIN = np.uint64(0x51ED270B0A1F3C5D), np.uint64(0x2545F4914F6CDD1D)
@@ -138,7 +138,7 @@ def _send(shards: int, h: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
     shard = shard_of(h, shards)
     used = np.unique(shard)
     cuts = np.r_[np.searchsorted(shard, used), len(h)]
-    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), _binary(h, cuts), _binary(data, cuts)], names=["shard", "h", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), binary(h, cuts), binary(data, cuts)], names=["shard", "h", "v"])
 
 
 def _count_pairs(shards: int):
