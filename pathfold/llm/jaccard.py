@@ -1,7 +1,7 @@
 """N-gram Jaccard join by grouped prefixes.
 
 A document is the set of its distinct 5-word shingles (64-bit hashes). Documents with equal
-sets (equal size and two 64-bit sums) are one item. Shingles are ordered rarest first by the
+sets (equal size and 96 bits of sums) are one item. Shingles are ordered rarest first by the
 number of items that have them; items whose shingles are shared too rarely to reach the
 threshold drop out. Items with equal prefixes and size become one group, and groups that
 share a prefix shingle are candidates unless their sizes, or the shingles that can still be
@@ -46,12 +46,14 @@ NUMERATOR, DENOMINATOR = 3, 4
 PER_TASK, MOST_PER_TASK = 3_000_000, 32_000_000
 #: Shingles with more than one in so many of all shingle places are not counted.
 HOT = 1 << 16
+#: A task reports such a shingle if it meets it so often.
+SEEN = 16
 #: Groups drawn of each shingle, round by round.
 DRAWS = (4, 12)
 #: Groups in a block of a shingle's list, and in a block of the last comparison.
 LIST, BLOCK = 2048, 512
 _SHARED = np.dtype([("h", "<u8"), ("f", "<u4")])
-_KEY = np.dtype([("a", "<u8"), ("b", "<u8"), ("n", "<i8")])
+_KEY = np.dtype([("a", "<u8"), ("b", "<u4"), ("n", "<u4")])
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -67,11 +69,11 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def keys_of(sets: list[np.ndarray]) -> np.ndarray:
-    """Size and two 64-bit sums of each set."""
+    """Size, a 64-bit and a 32-bit sum of each set."""
     out = np.zeros(len(sets), _KEY)
     out["n"] = [len(s) for s in sets]
-    for name, salt in (("a", 1), ("b", 2)):
-        out[name] = [wordhash.mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets]
+    out["a"] = [wordhash.mix(s ^ np.uint64(1)).sum(dtype=np.uint64) for s in sets]
+    out["b"] = [wordhash.mix(s ^ np.uint64(2)).sum(dtype=np.uint64) >> np.uint64(32) for s in sets]
     return out
 
 
@@ -117,7 +119,7 @@ class Frequent:
         self.h, self.c = every[count > 0], count[count > 0]
 
     def large(self) -> np.ndarray:
-        return np.flatnonzero(self.c * self.most >= self.total)
+        return np.flatnonzero((self.c >= SEEN) & (self.c * self.most >= self.total))
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +132,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(raw, offsets)
             frequent.add(np.concatenate(sets))
             k = keys_of(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(k["n"]), pa.array(k["a"].view(np.int64)), pa.array(k["b"].view(np.int64))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(k["n"].astype(np.int64)), pa.array(k["a"].view(np.int64)), pa.array(k["b"].astype(np.int64))], names=names)
     if len(at := frequent.large()):
         yield pa.RecordBatch.from_arrays([pa.nulls(len(at), kind), pa.array(np.full(len(at), -1)), pa.array(frequent.h[at].view(np.int64)), pa.array(frequent.c[at])], names=names)
 
@@ -214,14 +216,14 @@ def _prepare(table: pa.Table) -> pa.Table:
     cuts = np.searchsorted(doc, np.arange(len(keys) + 1))
     size = np.diff(cuts)
     rows: list[list] = [[] for _ in range(8)]
-    for i in np.flatnonzero(size * DENOMINATOR >= keys["n"] * NUMERATOR):
+    for i in np.flatnonzero(size * DENOMINATOR >= keys["n"].astype(np.int64) * NUMERATOR):
         own, n = h[cuts[i] : cuts[i + 1]], int(keys["n"][i])
         need = -(-n * NUMERATOR // DENOMINATOR)
         spare = n - len(own)  # shingles of this set alone, rarest of all
         prefix = own[: max(0, n - need + 1 - spare)]
         placed = wordhash.mix(prefix + np.arange(len(prefix), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         marks = [int(wordhash.mix(placed ^ np.uint64(salt)).sum(dtype=np.uint64).astype(np.int64)) for salt in (3, 4)]
-        for column, value in zip(rows, (n, int(keys["a"][i].astype(np.int64)), int(keys["b"][i].astype(np.int64)), spare, *marks, prefix.view(np.int64), np.sort(own).view(np.int64)), strict=True):
+        for column, value in zip(rows, (n, int(keys["a"][i].astype(np.int64)), int(keys["b"][i]), spare, *marks, prefix.view(np.int64), np.sort(own).view(np.int64)), strict=True):
             column.append(value)
     kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())] * 2
     return pa.table({name: pa.array(v, t) for name, v, t in zip(("n", "a", "b", "spare", "p1", "p2", "prefix", "shared"), rows, kinds, strict=True)})
@@ -243,11 +245,12 @@ def verify(pairs: DataFrame, items: DataFrame) -> DataFrame:
     return both.filter(F.col("o") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("o")) * NUMERATOR).select(*pairs.columns)
 
 
-def several(index: DataFrame, placed: DataFrame) -> DataFrame:
-    """The rows of the index, by component, of shingles that several components have."""
+def several(index: DataFrame, placed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """The rows of the index, by component, of shingles that several components have. These
+    shingles are a table first, so that the rows of a frequent one are dealt to many tasks."""
     cells = index.join(placed.select("g", "comp").distinct(), "g")
     mixed = cells.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("t")
-    return cells.join(mixed, "t").select("t", "g", "n", "i", "comp")
+    return scratch.write(cells.join(scratch.write(mixed, f"{name}-t"), "t").select("t", "g", "n", "i", "comp"), name)
 
 
 def _candidates(table: pa.Table) -> pa.Table:
@@ -325,7 +328,7 @@ def last_links(apart: DataFrame, placed: DataFrame, items: DataFrame, scratch: S
     sets = scratch.write(held.select("id", "g", "comp").join(items.select("id", "n", "shared"), "id"), "sets")
     blocks = sets.count() // BLOCK + 1
     block = lambda parts: F.pmod(F.xxhash64("g"), F.lit(parts)).cast("int")
-    counts = cells.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("weight", "comp")).alias("top"))
+    counts = scratch.write(cells.groupBy("t").agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("weight", "comp")).alias("top")), "counts")
     longest = counts.agg(F.max("c")).first()[0] or 0
     lists = cells.withColumn("yb", block(blocks)).groupBy("t", block(longest // LIST + 1).alias("part"))
     lists = lists.agg(F.collect_list(F.struct("g", "comp", "n", "i", "weight", "yb")).alias("list"))
@@ -346,13 +349,14 @@ def join_components(placed: DataFrame, links: DataFrame, scratch: Scratch, name:
     return scratch.write(moved.select("id", "n", "g", F.coalesce("label", "comp").alias("comp")), name)
 
 
-def drawn_pairs(apart: DataFrame, placed: DataFrame, seeds: range) -> DataFrame:
+def drawn_pairs(apart: DataFrame, placed: DataFrame, seeds: range, scratch: Scratch, name: str) -> DataFrame:
     """Pairs a, b of members (of components ca, cb) of groups and a few drawn groups of each
     of their shingles."""
     draws = [F.min(F.struct(F.xxhash64("g", F.lit(seed)).alias("h"), "g", "n", "i", "comp")) for seed in seeds]
     picks = F.array_distinct(F.transform(F.array(*draws), lambda p: p.dropFields("h")))
     one = apart.groupBy("t").agg(picks.alias("p")).select("t", F.explode("p").alias("p"))
     one = one.select("t", F.col("p.g").alias("pg"), F.col("p.n").alias("pn"), F.col("p.i").alias("pi"), F.col("p.comp").alias("cb"))
+    one = scratch.write(one, name)
     met = apart.join(one, "t").filter((F.col("comp") != F.col("cb")) & near("n", "i", "pn", "pi")).select("g", F.col("comp").alias("ca"), "pg", "cb").distinct()
     least = placed.groupBy("g", "comp").agg(F.min("id").alias("id"))
     a = least.select("g", F.col("comp").alias("ca"), F.col("id").alias("a"))
@@ -369,8 +373,13 @@ def items_of(texts: DataFrame, meta: DataFrame, sets: DataFrame, scratch: Scratc
     hot = np.sort(np.array([r["a"] for r in often.collect()], np.int64).view(np.uint64))  # HOT at most
     dealt = texts.filter("id IS NOT NULL").select("text").mapInArrow(_deal(parts, hot), "bucket int, keys binary, counts binary, hashes binary")
     counted = dealt.groupBy("bucket").applyInArrow(_count(parts, parts), "part int, keys binary, counts binary, shared binary")
+    counted = scratch.write(counted, "counted")
+    del dealt
+    free_shuffles(texts.sparkSession)  # all hashes; what several sets share is far less
     found = counted.groupBy("part").applyInArrow(_prepare, "n long, a long, b long, spare long, p1 long, p2 long, prefix array<long>, shared array<long>")
-    return scratch.write(found.join(sets.select("id", "n", "a", "b"), ["n", "a", "b"]).drop("a", "b"), "items")
+    items = scratch.write(found.join(sets.select("id", "n", "a", "b"), ["n", "a", "b"]).drop("a", "b"), "items")
+    scratch.drop("counted")
+    return items
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,12 +401,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     index = heads.select("spare", F.posexplode("prefix").alias("k", "t"), F.col("id").alias("g"), "n").select("t", "g", "n", (F.col("k") + F.col("spare")).alias("i"))
     members = placed.filter("id <> g").select(F.col("id").alias("a"), F.col("id").alias("ca"), F.col("g").alias("b"), F.col("g").alias("cb"))
     placed = join_components(placed, scratch.write(verify(members, items), "links"), scratch, "placed-m")
-    apart = scratch.write(several(index, placed), "apart")
+    apart = several(index, placed, scratch, "apart")
     seed = 0
     for k, draws in enumerate(DRAWS):
-        pairs = drawn_pairs(apart, placed, range(seed, seed + draws))
+        pairs = drawn_pairs(apart, placed, range(seed, seed + draws), scratch, f"drawn{k}")
         placed = join_components(placed, scratch.write(verify(pairs, items), f"links{k}"), scratch, f"placed{k}")
-        apart = scratch.write(several(apart.select("t", "g", "n", "i").distinct(), placed), f"apart{k}")
+        apart = several(apart.select("t", "g", "n", "i").distinct(), placed, scratch, f"apart{k}")
         seed += draws
         free_shuffles(spark)
     links = scratch.write(last_links(apart, placed, items, scratch), "links-last")
