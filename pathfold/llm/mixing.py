@@ -2,22 +2,27 @@
 
 Each source gets a word budget by weight (water-filling under a cap of whole repeats). A
 source is taken whole as often as the budget allows; for what remains, documents are
-counted by exact length, a proportional share of every length is taken, and a bounded
-knapsack over the spare counts fits the last words. Which documents of a length are taken
-follows a seeded hash.
+counted by exact length, each length gives in proportion, and a bounded knapsack over the
+spare counts fits the last words, as many as one or two of the longest documents have. Which
+documents of a length are taken follows a seeded hash.
 
 Edge cases: a null text has size 0 and a null source is a source of its own, ordered last;
-documents of size 0 take 0 words; an empty table gives an empty result; repeated rows
-count as separate documents; other columns are ignored.
+documents of size 0 take 0 words; texts of any length are counted whole; an empty table
+gives an empty result; repeated rows count as separate documents; other columns are ignored,
+whatever their names. take_mix keeps them all, and leaves out documents taken 0 times.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathfold.llm.columns import column
 from pathfold.scratch import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,8 +30,6 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = 20240601
-#: Words that the dynamic program covers; a larger remainder is first brought down greedily.
-PROGRAM = 1 << 16
 #: Ranges of the seeded hash by which the documents of one length are ranked in parallel.
 RANGES = 256
 
@@ -41,7 +44,7 @@ def subset_sum(lengths: list[int], spare: list[int], budget: int) -> list[int]:
     if budget <= 0:
         return taken
     mask, bits = (1 << (budget + 1)) - 1, 1
-    via = np.full(budget + 1, -1, np.int64)
+    via = np.full(budget + 1, -1, np.int32)
     items: list[tuple[int, int]] = []
     for i, (length, most) in enumerate(zip(lengths, spare, strict=True)):
         most, step = min(most, budget // length), 1
@@ -64,20 +67,24 @@ def subset_sum(lengths: list[int], spare: list[int], budget: int) -> list[int]:
     return taken
 
 
-def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, program: int = PROGRAM) -> np.ndarray:
-    """How many documents of each length to take so that their words fit the budget."""
+def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """How many documents of each length to take so that their words fit the budget.
+
+    From the longest length down, documents are taken in proportion, as far as the words so
+    far are due, up to a budget less by the longest length. So what remains for the knapsack
+    is about one or two of the longest documents, however large the source is.
+    """
     order = np.argsort(-lengths, kind="stable")
     size, n = [int(x) for x in lengths[order]], [int(x) for x in counts[order]]
     whole = sum(a * b for a, b in zip(size, n, strict=True))
-    take = [0] * len(size)
-    if whole and budget > 0:
-        take = [b if budget >= whole else budget * b // whole if a else 0 for a, b in zip(size, n, strict=True)]
-        left = budget - sum(a * b for a, b in zip(size, take, strict=True))
-        for j, a in enumerate(size):  # long documents first, down to what the program covers
-            if left <= program or not a:
-                break
-            k = min(n[j] - take[j], left // a)
-            take[j], left = take[j] + k, left - k * a
+    take = [b if a and budget >= whole else 0 for a, b in zip(size, n, strict=True)]
+    if 0 < budget < whole:
+        aim, seen, used = max(0, budget - size[0]), 0, 0
+        for j, (a, b) in enumerate(zip(size, n, strict=True)):
+            seen += a * b
+            take[j] = min(b, (aim * seen // whole - used) // a) if a else 0
+            used += take[j] * a
+        left = budget - used
         fits = [j for j, a in enumerate(size) if 0 < a <= left and n[j] > take[j]]
         for j, k in zip(fits, subset_sum([size[j] for j in fits], [n[j] - take[j] for j in fits], left), strict=True):
             take[j] += k
@@ -115,11 +122,14 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
+def size_of(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(column(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = scratch.write(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")), "sizes")
+    sizes = scratch.write(docs.select(column(id_col).alias("doc_id"), column(source_col).alias("source"), size_of(text_col).alias("size")), "sizes")
     counts = sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")).alias("c")
     goals = targets(sizes).alias("g")
     counts = counts.join(goals, F.col("c.source").eqNullSafe(F.col("g.source"))).select("c.source", "size", "n", "source_size", "target")
@@ -144,19 +154,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, each as often as the mix takes it.
 
-    Documents that share an id, source and size are told apart by their order in a stable
-    digest, so that each decision is used once.
+    Documents that share an id, source and size are told apart by the order of a stable
+    digest of their texts, so that each decision is used once.
     """
-    count = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    named = docs.withColumn("__size", count)
-    decided = mix(docs, id_col, text_col, source_col).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__rows")).alias("m")
-    on = named[id_col].eqNullSafe(F.col("m.doc_id")) & named[source_col].eqNullSafe(F.col("m.source")) & (named["__size"] == F.col("m.size"))
-    joined = named.join(decided, on).select(*[named[c] for c in docs.columns], "__size", "__sum", "__rows")
-    alone = joined.filter("__rows = 1").withColumn("__copies", F.col("__sum").cast("int"))
-    among = Window.partitionBy(id_col, source_col, "__size").orderBy(F.sha2(F.col(text_col).cast("string"), 256))
-    shared = joined.filter("__rows > 1").withColumn("__nth", F.row_number().over(among))
-    shared = shared.withColumn("__copies", (F.floor(F.col("__sum") / F.col("__rows")) + (F.col("__nth") <= F.col("__sum") % F.col("__rows")).cast("int")).cast("int")).drop("__nth")
-    return alone.unionByName(shared).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(*(column(c).alias(to) for c, to in place.items())).withColumn("words", size_of(place[text_col]))
+    decided = mix(docs, id_col, text_col, source_col).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("rows"))
+    on = F.col(place[id_col]).eqNullSafe(F.col("doc_id")) & F.col(place[source_col]).eqNullSafe(F.col("source")) & (F.col("words") == F.col("size"))
+    joined = named.join(decided, on).select(*place.values(), "words", "total", "rows")
+    alone = joined.filter("rows = 1").withColumn("copies", F.col("total").cast("int"))
+    among = Window.partitionBy(place[id_col], place[source_col], "words", "digest").orderBy(F.lit(1))
+    shared = joined.filter("rows > 1").withColumn("digest", F.sha2(F.col(place[text_col]).cast("string"), 256))
+    equal = shared.groupBy(place[id_col], place[source_col], "words", "digest").agg(F.count(F.lit(1)).alias("k"))
+    earlier = Window.partitionBy(place[id_col], place[source_col], "words").orderBy("digest").rowsBetween(Window.unboundedPreceding, -1)
+    equal = equal.withColumn("before", F.coalesce(F.sum("k").over(earlier), F.lit(0))).drop("k").alias("e")
+    same = reduce(and_, (F.col(f"s.{c}").eqNullSafe(F.col(f"e.{c}")) for c in (place[id_col], place[source_col], "words", "digest")))
+    shared = shared.alias("s").join(equal, same).select("s.*", "before").withColumn("nth", F.col("before") + F.row_number().over(among))
+    each = F.floor(F.col("total") / F.col("rows")) + (F.col("nth") <= F.col("total") % F.col("rows")).cast("int")
+    shared = shared.withColumn("copies", each.cast("int")).select(*alone.columns)
+    copies = alone.unionByName(shared).withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
+    return copies.select(*(F.col(to).alias(c) for c, to in place.items()))
 
 
 QUERY = "op2_mixing"
