@@ -17,8 +17,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathfold.llm.columns import column, spare
 from pathfold.scratch import Scratch
 
+#: Bytes of digits that are broadcast to find the rows of great groups; tasks for each group.
+HOT_BYTES, FAN = 4 << 20, 64
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -27,44 +30,56 @@ def ascii_lower(text):
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 32, growth: int = 4) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def partitions(rows: DataFrame, scratch: Scratch, width: int, growth: int) -> DataFrame:
+    """id, sha, keep_id (the greatest id of the equal texts), n (how many they are).
 
-    width: bytes of the first digit; growth: by how much each digit is wider than the last.
-    A group of any size is split by counts that are summed before the shuffle, and its rows
-    are dealt to many tasks by the skew handling of the join.
+    rows: id, sha, rest (the bytes). width: bytes of the first digit; growth: by how much each
+    digit is wider than the last. Groups are counted before the shuffle. The rows of the
+    greatest groups (1,024 at most, and no more than HOT_BYTES of digits, so they are
+    broadcast) are dealt to FAN tasks each.
     """
-    scratch = Scratch(docs.sparkSession, "radix")
-    text = F.coalesce(ascii_lower(F.col(text_col).cast("string")), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("node"), text.cast("binary").alias("rest"))
-    rows = rows.withColumn("sha", F.unhex(F.sha2("rest", 256)))
-    ended, level = [], 0
+    ended, level, total = [], 0, rows.count()
+    rows = rows.withColumn("node", F.lit(0).cast("long"))
     while True:
-        cut = rows.select(
-            "doc_id", "node", "sha",
-            F.substring("rest", 1, width).alias("digit"),
-            F.expr(f"substring(rest, {width + 1})").alias("rest"),
-        )
-        groups = cut.groupBy("node", "digit").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        cut = rows.select("id", "node", "sha", F.substring("rest", 1, width).alias("digit"), F.expr(f"substring(rest, {width + 1})").alias("rest"))
+        groups = cut.groupBy("node", "digit").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         groups = groups.withColumn("open", F.octet_length("digit") == width).withColumn("next", F.monotonically_increasing_id())
         groups = scratch.write(groups, f"groups{level}")
         going_on = not groups.filter("open").isEmpty()
-        split = cut.join(groups.hint("shuffle_hash"), ["node", "digit"], "left")
-        split = split.select(
-            "doc_id", "sha",
+        if most := min(1024, HOT_BYTES // width):
+            great = F.col("n") > total // most
+            hot = groups.filter(great).select("node", "digit", F.lit(True).alias("hot"))
+            cut = cut.join(F.broadcast(hot), ["node", "digit"], "left")
+            cut = cut.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(FAN))).otherwise(F.lit(0))).drop("hot")
+            groups = groups.withColumn("salt", F.explode(F.when(great, F.sequence(F.lit(0), F.lit(FAN - 1))).otherwise(F.array(F.lit(0)))))
+        on = ["node", "digit", *["salt"] * bool(most)]
+        split = cut.join(groups.hint("shuffle_hash"), on, "left").select(
+            "id", "sha",
             F.coalesce("open", F.lit(False)).alias("open"),
-            F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+            F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
             F.coalesce("n", F.lit(1)).cast("long").alias("n"),
             F.col("next").alias("node"),
             F.when(F.col("open"), F.col("rest")).alias("rest"),
         )
         split = scratch.write(split, f"rows{level}")
-        ended.append(split.filter("not open").select("doc_id", "keep_id", "n", "sha"))
+        ended.append(split.filter("not open").select("id", "sha", "keep_id", "n"))
         if not going_on:
-            break
-        rows = split.filter("open").select("doc_id", "node", "rest", "sha")
+            return reduce(DataFrame.unionAll, ended)
+        rows = split.filter("open").select("id", "sha", "rest", "node")
         width, level = width * growth, level + 1
-    out = reduce(DataFrame.unionAll, ended).select("doc_id", "keep_id", F.col("n").alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def normalised(text_col: str):
+    return F.coalesce(ascii_lower(column(text_col).cast("string")), F.lit("")).cast("binary")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 32, growth: int = 4) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    scratch = Scratch(docs.sparkSession, "radix")
+    rows = docs.select(column(id_col).alias("id"), normalised(text_col).alias("rest"))
+    rows = rows.select("id", F.unhex(F.sha2("rest", 256)).alias("sha"), "rest")
+    out = partitions(rows, scratch, width, growth)
+    out = out.select(F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), F.lower(F.hex("sha")).alias("text_sha256"))
     same = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     first = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.lit(1))) == 1
     sure = out.filter(~same | (F.col("group_size") == 1)).withColumn("kept", same)
@@ -73,16 +88,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, of which exact_groups keeps one per distinct text.
-
-    A row is addressed by its id and the digest of its text, so repeated or missing ids do
-    no harm.
-    """
-    key = lambda sha, row_id: F.concat_ws("/", sha, row_id.cast("string"))
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(key(F.col("text_sha256"), F.col("doc_id")).alias("__key"))
-    text = F.coalesce(ascii_lower(F.col(text_col).cast("string")), F.lit(""))
-    named = docs.withColumn("__key", key(F.sha2(text.cast("binary"), 256), F.col(id_col)))
-    return named.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    """The rows of docs, all columns whatever their names, of which one stays per distinct
+    text: that of the greatest id, and of rows that share it the last of the table."""
+    scratch = Scratch(docs.sparkSession, "radix")
+    (row,) = spare(docs, "row")
+    named = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "named")
+    rows = named.select(F.struct(column(id_col).alias("doc"), F.col(row).alias("row")).alias("id"), F.lit(None).cast("binary").alias("sha"), normalised(text_col).alias("rest"))
+    kept = partitions(rows, scratch, 32, 4).filter("id = keep_id").select(F.col("id.row").alias(row))
+    return named.join(kept, row, "left_semi").select(*map(column, docs.columns))
 
 
 QUERY = "op5_exact_dedup"
