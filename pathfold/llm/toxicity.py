@@ -11,7 +11,6 @@ from; repeated rows are scored alike; other columns are ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathfold.llm import wordhash
+from pathfold.llm.columns import column, quoted, spare
 
 #: Labelled rows learnt from at most (a uniform draw by hash), and passes over them.
 SAMPLE = 12000
@@ -80,35 +80,15 @@ class Ftrl:
         return live.astype(np.uint64), self.weights(live), float(self.weights(np.array([self.bias]))[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights from at most `sample` labelled rows that are not held out.
-
-    The draw orders rows by a hash of the id, so it is uniform and the same in every run.
-    One pass of the labelled features runs on executors; only the sample's distinct feature
-    hashes reach the driver, in chunks, where the sequential learner runs.
-    """
-    l_id = F.col(id_col)
-    chosen = labels.select(l_id.alias("__id"), F.col(label_col).cast("int").alias("__label"))
-    chosen = chosen.filter(F.col("__id").isNotNull() & F.col("__label").isNotNull() & (F.crc32(F.col("__id").cast("string")) % 3 != 1))
-    chosen = chosen.orderBy(F.xxhash64("__id", F.lit(7)), "__id", "__label").limit(sample)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "__id")
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, to, raw, offsets in wordhash.blocks(batch.column(1), BLOCK):
-                pairs = np.unique(features(raw, offsets))
-                cuts = np.searchsorted(pairs, np.arange(to - at + 1, dtype=np.uint64) << np.uint64(BITS))
-                low = (pairs & _FEATURE).astype("<u4")
-                sets = [low[cuts[i] : cuts[i + 1]].tobytes() for i in range(to - at)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(2).slice(at, to - at), pa.array(sets, pa.binary())], names=["id", "label", "features"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    found = rows.select("__id", "text", "__label").mapInArrow(hashed, f"id {kind}, label int, features binary").toLocalIterator(prefetchPartitions=False)
+def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (key, label, features), which are put in order first."""
     kept, texts = [], np.zeros(1 << BITS, np.int32)
-    for row in found:
-        kept.append((wordhash.mix(np.array([row["id"]], np.int64).view(np.uint64))[0] if isinstance(row["id"], int) else zlib.crc32(str(row["id"]).encode()), row["label"], np.frombuffer(row["features"], "<u4")))
-        texts[kept[-1][2]] += 1
-    kept.sort(key=lambda x: (int(x[0]), x[1], x[2].tobytes()))
+    for batch in batches:
+        for key, label, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            at = np.frombuffer(held, "<u4")
+            kept.append((key, label, at))
+            texts[at] += 1
+    kept.sort(key=lambda x: (x[0], x[1], x[2].tobytes()))
     labels_left = [label for _, label, _ in kept]
     ends = np.cumsum([np.count_nonzero(texts[at] >= LEAST_TEXTS) for _, _, at in kept], dtype=np.int64)
     flat = np.empty(ends[-1] if len(ends) else 0, np.uint32)
@@ -123,11 +103,39 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for label, end in zip(labels_left, ends, strict=True):
             learner.learn(flat[start:end].astype(np.int64), label)
             start = end
-    return learner.compact()
+    live, weight, bias = learner.compact()
+    yield pa.RecordBatch.from_arrays([pa.array([live.tobytes()]), pa.array([weight.astype("<f8").tobytes()]), pa.array([bias])], names=["live", "weight", "bias"])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights from at most `sample` labelled rows that are not held out.
+
+    The draw orders rows by a hash of the id, so it is uniform and the same in every run. The
+    features of the draw are hashed where the texts are; the sequential learner is one task,
+    whose input the sample bounds, and only the weights reach the driver.
+    """
+    chosen = labels.select(column(id_col).alias("id"), column(label_col).cast("int").alias("label"))
+    chosen = chosen.filter(F.col("id").isNotNull() & F.col("label").isNotNull() & (F.crc32(F.col("id").cast("string")) % 3 != 1))
+    chosen = chosen.withColumn("key", F.xxhash64("id", F.lit(7))).orderBy("key", "id", "label").limit(sample)
+    rows = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, raw, offsets in wordhash.blocks(batch.column(2), BLOCK):
+                pairs = np.unique(features(raw, offsets))
+                cuts = np.searchsorted(pairs, np.arange(to - at + 1, dtype=np.uint64) << np.uint64(BITS))
+                low = (pairs & _FEATURE).astype("<u4")
+                sets = [low[cuts[i] : cuts[i + 1]].tobytes() for i in range(to - at)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(sets, pa.binary())], names=["key", "label", "features"])
+
+    found = rows.select("key", "label", "text").mapInArrow(hashed, "key long, label int, features binary")
+    model = found.repartition(1).mapInArrow(_learn, "live binary, weight binary, bias double").first()
+    return np.frombuffer(model["live"], np.uint64), np.frombuffer(model["weight"], "<f8"), model["bias"]
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; with keep also the row's own columns.
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", keep: str | None = None) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row; with keep, the row's own columns and
+    a score so named.
 
     The model is broadcast; L1 bounds its size by the number of features of the sample.
     """
@@ -148,20 +156,22 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
                 out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
             s = np.concatenate(out) if out else np.zeros(0)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(s, pa.float64())], names=[*batch.schema.names[:-1], "__score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(s, pa.float64())], names=[*batch.schema.names[:-1], name])
 
+    name, text = spare(docs, keep or "score", "text_of_row")
     columns = docs.columns if keep else [id_col]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", __score double"
-    scored = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    schema = ", ".join(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in columns) + f", {quoted(name)} double"
+    scored = docs.select(*map(column, columns), column(text_col).cast("string").alias(text)).mapInArrow(run, schema)
     if keep:
         return scored
-    held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
-    return scored.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    held = F.coalesce(F.crc32(column(id_col).cast("string")) % 3 == 1, F.lit(False))
+    return scored.select(column(id_col).alias("doc_id"), held.alias("held_out"), F.col(name).alias("score"), (F.col(name) >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that score below the threshold."""
-    return score(docs, train(docs, labels), keep=True).filter(F.col("__score") < THRESHOLD).select(*docs.columns)
+    """The rows of docs, all columns whatever their names, that score below the threshold."""
+    (name,) = spare(docs, "score")
+    return score(docs, train(docs, labels), keep=name).filter(F.col(name) < THRESHOLD).select(*map(column, docs.columns))
 
 
 QUERY = "op8_toxicity"
