@@ -33,6 +33,8 @@ END, BEGIN = np.uint64(0x51ED270B0A1F3C5D), np.uint64(0x2545F4914F6CDD1D)
 #: Bytes of text for each shard of pairs, and for each shard of words.
 PAIR_BYTES, WORD_BYTES = 12_000_000, 24_000_000
 BLOCK = 8 << 20
+#: Shards that a worker has mapped before it lets go of all of them.
+MAPS = 8192
 _WORD = np.dtype([("h", "<u8"), ("c", "<i8"), ("one", "<i8"), ("two", "<f8"), ("more", "<f8"), ("ends", "<f8")])
 
 
@@ -53,9 +55,11 @@ def put(folder: str, name: str, array: np.ndarray) -> None:
 
         store, path = fs.FileSystem.from_uri(folder)
         store.create_dir(path)
-        with store.open_output_stream(f"{path}/.{name}-{uuid.uuid4().hex}") as out:
+        own = f"{path}/.{name}-{uuid.uuid4().hex}"
+        with store.open_output_stream(own) as out:
             out.write(array.tobytes())
-            own = out
+        if store.get_file_info(f"{path}/{name}").type != fs.FileType.NotFound:
+            store.delete_file(f"{path}/{name}")
         store.move(own, f"{path}/{name}")
 
 
@@ -100,6 +104,8 @@ class Store:
             if int(s) not in self.filled:
                 continue
             if s not in self._open:
+                if len(self._open) >= MAPS:
+                    self._open.clear()
                 self._open[s] = (fetch(self.folder, f"{self.kind}-{s}.hash", "<u8"), fetch(self.folder, f"{self.kind}-{s}.value", self.value))
             keys, values = self._open[s]
             part = slice(cuts[s], cuts[s + 1])
