@@ -6,11 +6,15 @@ with a path u v get an arc w to where v led, and the arcs u are redirected to a
 their target without the arc v. A copy is stored as its parent and the arc it lacks, so the
 automaton has one state per merge; transitions are read from these tables and remembered.
 
-A pre-split word is encoded in one pass over its bytes: every prefix has one accepted
-sequence, of which only the last token is needed to extend it. Decoding joins arc labels.
-
-Edge cases: a null or empty text has no tokens; the strings of added tokens are cut out
-first and get their own ids, as the tokenizers library does; other columns are ignored.
+A pre-split word is encoded in one pass over its bytes. Tables over the bytes of all arc
+labels (a trie with suffix links) give after each byte the arcs that may end there; every
+prefix has one accepted sequence, of which only the last token is needed to say which of
+these arcs exists. Decoding joins arc labels.
+
+Edge cases: a null or empty text has no tokens; texts and words of any length are read whole;
+the strings of added tokens are cut out first and get their own ids, as the tokenizers library
+does; repeated rows give equal rows and ties do not arise; ids may be null or of any type; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from pathfold.llm.columns import column
+
 #: The contraction, letter, number, other and space classes of the pre-split.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words, and also arcs, that a worker remembers before it forgets all of them.
@@ -63,7 +69,7 @@ class Automaton:
             self.since.append(time)
             self.target[u] = len(self.parent) - 1
         self.ids = {label: i for label, i in self.ids.items() if i in self.target}
-        self.longest = max(map(len, self.ids), default=1)
+        self._compile_steps()
 
     def has_arc(self, state: int, token: int) -> bool:
         """Whether the state has an arc for the token: an arc older than the state is its
@@ -84,22 +90,61 @@ class Automaton:
         self._arc[key] = not q
         return not q
 
+    def _compile_steps(self) -> None:
+        """Tables over the bytes of all labels: step (node and byte to node), fail (the node
+        of the longest proper suffix), token (of the node's bytes, or -1) and shorter (the
+        nearest proper suffix that is a token)."""
+        step, token, first = {}, [-1], [[]]
+        for label, i in self.ids.items():
+            node = 0
+            for b in label:
+                key = node << 8 | b
+                if (to := step.get(key)) is None:
+                    to = step[key] = len(token)
+                    token.append(-1)
+                    first.append([])
+                    first[node].append((b, to))
+                node = to
+            token[node] = i
+        fail, shorter = [0] * len(token), [0] * len(token)
+        wave = [to for _, to in first[0]]
+        while wave:
+            later = []
+            for node in wave:
+                for b, to in first[node]:
+                    at = fail[node]
+                    while (via := step.get(at << 8 | b)) is None and at:
+                        at = fail[at]
+                    at = fail[to] = via or 0
+                    shorter[to] = at if token[at] >= 0 else shorter[at]
+                    later.append(to)
+            wave = later
+        self.step, self.fail, self.token, self.shorter = step, fail, token, shorter
+
     def encode(self, word: bytes) -> list[int]:
-        """The token ids of one pre-split word."""
+        """The token ids of one pre-split word: one step a byte, which gives the tokens that
+        end there; the arc tables say which of them follows what stands before it."""
         if (whole := self.ids.get(word)) is not None:  # the start state has every arc
             return [whole]
-        n, ids, target, longest = len(word), self.ids, self.target, self.longest
-        last = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                token = ids.get(word[start:end])
-                if token is not None and (start == 0 or last[start] >= 0 and self.has_arc(target[last[start]], token)):
-                    last[end] = token
+        step, fail, token, shorter = self.step, self.fail, self.token, self.shorter
+        labels, target, has_arc = self.labels, self.target, self.has_arc
+        last, node = [-1], 0
+        for end, b in enumerate(word, 1):
+            while (to := step.get(node << 8 | b)) is None and node:
+                node = fail[node]
+            node = to or 0
+            at = node if token[node] >= 0 else shorter[node]
+            while at:
+                t = token[at]
+                start = end - len(labels[t])
+                if start == 0 or last[start] >= 0 and has_arc(target[last[start]], t):
                     break
-        out, at = [], n
+                at = shorter[at]
+            last.append(token[at] if at else -1)
+        out, at = [], len(word)
         while at:
             out.append(last[at])
-            at -= len(self.labels[last[at]])
+            at -= len(labels[last[at]])
         return out[::-1]
 
     def decode(self, ids: list[int]) -> bytes:
@@ -191,9 +236,7 @@ def encode_documents(docs: DataFrame, spec: str, id_col: str = "doc_id", text_co
                 names.append("token_ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    from pyspark.sql import functions as F
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def default_spec() -> str:
