@@ -116,9 +116,17 @@ def plural(n: Column, one: str, many: str) -> Column:
 
 
 def tier_label(tier: Column) -> Column:
-    return F.when(tier == 1, "start here").when(tier == 2, "then these").otherwise("useful context")
+    return F.when(tier == 1, "start here").when(tier == 2, "then these").otherwise("when you get to it")
+
+
+def agrees(n: Column, one: str, many: str) -> Column:
+    """The form of a verb for n things."""
+    return F.when(n == 1, one).otherwise(many)
 
 
 def first_doc_line(doc: Column, most: int = 160) -> Column:
+    """Up to the first line break and `most` bytes of UTF-8; a letter that is cut goes whole."""
     line = F.substring_index(doc, "\n", 1)
-    return F.when(F.octet_length(line) > most, F.concat(F.substring(line, 1, most), F.lit("…"))).otherwise(line)
+    cut = F.regexp_replace(F.decode(F.substring(F.encode(line, "UTF-8"), 1, most), "ISO-8859-1"), "[\u00C0-\u00FF][\u0080-\u00BF]{0,2}$", "")
+    whole = F.decode(F.encode(cut, "ISO-8859-1"), "UTF-8")
+    return F.when(F.octet_length(line) > most, F.concat(whole, F.lit("…"))).otherwise(line)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,20 +23,38 @@ def pairs(changes: DataFrame, indexed: DataFrame, most_files: int = 20, least_su
     return g.select("a", "b", "together", (F.col("together") / (F.col("na") + F.col("nb") - F.col("together"))).alias("strength"))
 
 
+def directory(path: Column) -> Column:
+    """The path up to its last slash; "." for a path without one."""
+    text = path.cast("string")
+    return F.when(F.contains(text, F.lit("/")), F.regexp_replace(text, "/[^/]*$", "")).otherwise(F.lit("."))
+
+
 def hidden(found: DataFrame, file_edges: DataFrame, files: DataFrame, imports: DataFrame) -> DataFrame:
-    """The pairs that no call edge, package or import relates, nor a directory if both files
-    are unknown to the index."""
+    """The pairs that no call edge, package or import relates, nor a common directory where
+    neither file has a package (files of no symbol have none, and an empty name is none).
+    files: path, package and, where paths don't tell it, dir."""
     ends = file_edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    of = lambda side: files.select(F.col("path").alias(side), F.col("package").alias(f"p{side}"), F.col("dir").alias(f"d{side}"))
+    place = F.col("dir") if "dir" in files.columns else directory(F.col("path"))
+    of = lambda side: files.select(F.col("path").alias(side), F.nullif("package", F.lit("")).alias(f"p{side}"), place.alias(f"d{side}"))
     g = found.join(ends, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    known = F.col("pa").isNotNull() & F.col("pb").isNotNull() & (F.col("pa") != "") & (F.col("pb") != "")
-    unknown = F.col("pa").isNull() & F.col("pb").isNull() & F.coalesce(F.col("da") == F.col("db"), F.lit(False))
-    g = g.filter(~(known & F.coalesce(F.col("pa") == F.col("pb"), F.lit(False))) & ~unknown)
+    unknown = F.col("pa").isNull() & F.col("pb").isNull() & (F.coalesce("da", directory(F.col("a"))) == F.coalesce("db", directory(F.col("b"))))
+    g = g.filter(~F.coalesce(F.col("pa") == F.col("pb"), F.lit(False)) & ~unknown)
     either = imports.select(F.col("from_pkg").alias("pa"), F.col("to_pkg").alias("pb"))
     either = either.unionAll(either.select("pb", "pa")).distinct()
     return g.join(either, ["pa", "pb"], "left_anti").select("a", "b", "together", "strength")
 
 
+def hidden_for(found: DataFrame, path) -> DataFrame:
+    """The hidden pairs of one file, as partner, together, strength."""
+    either = found.filter((F.col("a") == F.lit(path)) | (F.col("b") == F.lit(path)))
+    return either.select(F.when(F.col("a") == F.lit(path), F.col("b")).otherwise(F.col("a")).alias("partner"), "together", "strength")
+
+
+def top_pairs(found: DataFrame, n: int) -> DataFrame:
+    """The n pairs changed together most often; ties by strength, a, b."""
+    return found.orderBy(F.desc("together"), F.desc("strength"), "a", "b").limit(n)
+
+
 def coupling_score(found: DataFrame) -> DataFrame:
     """path, coupling: summed strength, credited to both ends."""
     return found.select(F.explode(F.array("a", "b")).alias("path"), "strength").groupBy("path").agg(F.sum("strength").alias("coupling"))

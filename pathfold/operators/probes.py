@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathfold.functions import scalar
+from pathfold.operators import lookup
 
 FEWEST, MOST = 2, 12
 
@@ -15,6 +16,11 @@ def blast_questions(edges: DataFrame, coverage: DataFrame | None = None, tests:
     (node) are no dependents, but paths may pass through them."""
     e = edges.select("src", "dst").distinct()
     one = e.select(F.col("dst").alias("symbol"), F.col("src").alias("item"))
+    direct = one.filter("symbol <> item")
+    if tests is not None:
+        direct = direct.join(tests.select(F.col("node").alias("item")), "item", "left_anti")
+    hubs = direct.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST).select("symbol")
+    one = one.join(hubs, "symbol", "left_anti")  # with over 12 direct dependents they can't qualify
     two = one.join(e.select(F.col("dst").alias("item"), F.col("src").alias("far")), "item").select("symbol", F.col("far").alias("item"))
     every = one.unionAll(two)
     if tests is not None:
@@ -34,12 +40,13 @@ def parse_answer(answer):
 
 def grade_blast(answers: DataFrame, questions: DataFrame, names: DataFrame) -> DataFrame:
     """id, precision, recall, f1, outcome. answers: id, symbol, answer; names: name, item (all
-    names by which an item may be called). A token that fits several expected items counts
-    them all, so precision can exceed 1; a skip is neutral."""
+    names by which an item may be called; a token that is none is tried by its last parts). A
+    token that fits several expected items counts them all, so precision can exceed 1; a skip
+    is neutral."""
     a = answers.select("id", "symbol", parse_answer(F.col("answer")).alias("tokens"))
-    given = a.select("id", "symbol", F.explode("tokens").alias("t")).select("id", "symbol", scalar.normalise_token(F.col("t")).alias("name"))
+    given = lookup.resolve_names(a.select("id", F.explode("tokens").alias("token")), names).join(a.select("id", "symbol"), "id")
     exp = questions.select("symbol", F.explode("expected").alias("item"))
-    hit = given.join(names, "name").join(exp, ["symbol", "item"]).groupBy("id").agg(F.count_distinct("item").alias("hits"))
+    hit = given.join(exp, ["symbol", "item"]).groupBy("id").agg(F.count_distinct("item").alias("hits"))
     n = F.size("tokens")
     g = a.join(questions.select("symbol", F.size("expected").alias("m")), "symbol").join(hit, "id", "left")
     p, r = F.coalesce("hits", F.lit(0)) / F.nullif(n, F.lit(0)), F.coalesce("hits", F.lit(0)) / F.col("m")
@@ -48,6 +55,44 @@ def grade_blast(answers: DataFrame, questions: DataFrame, names: DataFrame) -> D
     return g.select("id", "precision", "recall", "f1", outcome.alias("outcome"))
 
 
+def choice(answer: Column, options: int | Column) -> Column:
+    """The 0-based choice of an answer from 1; NULL (a skip) for a blank, "skip" or no option."""
+    n = F.try_to_number(F.trim(answer), F.lit("999")).cast("int") - 1
+    return F.when((n >= 0) & (n < options), n)
+
+
+def grade_choice(answers: DataFrame) -> DataFrame:
+    """id, outcome, score, explanation. answers: id, choice (0-based, NULL for a skip), labels,
+    right (0-based) and provenance."""
+    c, right = F.col("choice"), F.col("right")
+    outside = (c < 0) | (c >= F.size("labels"))
+    outcome = F.when(c.isNull(), "skipped").when(~outside & (c == right), "correct").otherwise("incorrect")
+    text = F.when(c.isNull(), F.lit(None)).when(outside, "no option was chosen").when(c == right, F.col("provenance"))
+    text = text.otherwise(F.concat(F.lit("right is "), F.get("labels", right), F.lit(": "), F.col("provenance")))
+    return answers.select("id", outcome.alias("outcome"), (~outside & (c == right)).cast("double").alias("score"), F.when(c.isNotNull(), text).alias("explanation"))
+
+
+def listed(items: Column, most: int = 6) -> Column:
+    """The first items, and how many more there are."""
+    more = F.size(items) - most
+    return F.concat(F.array_join(F.slice(items, 1, most), ", "), F.when(more > 0, F.concat(F.lit(", and "), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))
+
+
+def explain_blast(graded: DataFrame) -> DataFrame:
+    """id, explanation. graded: id, expected, named (expected ones that were named), spurious
+    (how many others) and provenance. The first case that holds."""
+    missed = F.array_except("expected", "named")
+    after = F.concat(F.lit(" ("), F.col("provenance"), F.lit(")"))
+    whole = F.size(missed) == 0
+    text = (
+        F.when(whole & (F.col("spurious") == 0), F.concat(F.lit("all "), scalar.plural(F.size("expected"), "dependent", "dependents"), after))
+        .when(whole, F.concat(F.lit("all that breaks, and "), scalar.plural(F.col("spurious"), "thing", "things"), F.lit(" that "), scalar.agrees(F.col("spurious"), "does", "do"), F.lit(" not")))
+        .when(F.size("named") == 0, F.concat(F.lit("right are "), listed(F.col("expected")), after))
+        .otherwise(F.concat(F.lit("not named: "), listed(missed), after))
+    )
+    return graded.select("id", text.alias("explanation"))
+
+
 def direction_questions(static_edges: DataFrame) -> DataFrame:
     """symbol, callee: the first callee that does not call back."""
     e = static_edges.select("src", "dst").distinct()
@@ -67,13 +112,44 @@ def locate_questions(symbols: DataFrame, wrong: int = 3) -> DataFrame:
     return both.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "other"))), lambda x: x.other).alias("distractors"))
 
 
-def may_fire(log: DataFrame, candidates: DataFrame, now, daily: int = 3, cooldown_days: int = 7) -> DataFrame:
-    """Candidates (symbol) not asked within the cooldown; none once `daily` were asked within
-    24 hours, skips included. log: symbol, asked_at."""
-    recent = log.filter(F.col("asked_at") > now - F.expr("INTERVAL 24 HOURS")).limit(daily).count()
-    cool = log.filter(F.col("asked_at") > now - F.expr(f"INTERVAL {cooldown_days} DAYS")).select("symbol")
-    out = candidates.join(cool, "symbol", "left_anti")
-    return out.limit(0) if recent >= daily else out
+def asked_since(log: DataFrame, since) -> DataFrame:
+    return log.filter(F.col("asked_at") >= since).orderBy("asked_at", "symbol")
+
+
+def allowed(log: DataFrame, now, daily: int = 3, requested: bool = False) -> bool:
+    """Whether a question may be asked: on request always, else if fewer than `daily` were
+    asked within 24 hours, skips included."""
+    return requested or log.filter(F.col("asked_at") >= now - F.expr("INTERVAL 24 HOURS")).limit(daily).count() < daily
+
+
+def eligible(log: DataFrame, candidates: DataFrame, now, cooldown: Column | None = None) -> DataFrame:
+    """Candidates (symbol, is_test) that are no tests and were not asked within the cooldown,
+    an interval (7 days unless stated)."""
+    since = now - (F.expr("INTERVAL 7 DAYS") if cooldown is None else cooldown)
+    cool = log.filter(F.col("asked_at") >= since).select("symbol").distinct()
+    return candidates.filter("NOT is_test").join(cool, "symbol", "left_anti")
+
+
+def may_fire(log: DataFrame, candidates: DataFrame, now, daily: int = 3, cooldown: Column | None = None) -> DataFrame:
+    """The eligible candidates; none once `daily` questions were asked within 24 hours."""
+    out = eligible(log, candidates, now, cooldown)
+    return out if allowed(log, now, daily) else out.limit(0)
+
+
+def first_edits(edits: DataFrame, counters: DataFrame, log: DataFrame, now, daily: int = 3) -> DataFrame:
+    """The edited symbols that the user has not met before (no counter), if one may ask."""
+    new = edits.select("symbol").distinct().join(counters.select("symbol"), "symbol", "left_anti")
+    return new if allowed(log, now, daily) else new.limit(0)
+
+
+def next_question(candidates: DataFrame, *questions: tuple[str, DataFrame]) -> DataFrame:
+    """symbol, kind of the first candidate (symbol, pos) for which a kind has a question; the
+    kinds are tried in the order given."""
+    every = None
+    for k, (kind, found) in enumerate(questions):
+        one = found.select("symbol").distinct().select("symbol", F.lit(k).alias("k"), F.lit(kind).alias("kind"))
+        every = one if every is None else every.unionAll(one)
+    return candidates.select("symbol", "pos").join(every, "symbol").orderBy("pos", "symbol", "k").limit(1).select("symbol", "kind")
 
 
 def health(log: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathfold.functions import scalar
+from pathfold.operators import coupling
 
 #: Signals in their fixed order, with weights.
 WEIGHTS = {"centrality": 0.20, "churn": 0.15, "hidden_coupling": 0.25, "fix_density": 0.15, "orphaning": 0.10, "ai_density": 0.05, "task_proximity": 0.10}
@@ -110,25 +111,44 @@ def explain(items: DataFrame) -> DataFrame:
 
 
 def resolve_task(symbols: DataFrame, task: str) -> DataFrame:
-    """Seeds (symbol) of a task: exact symbol; package; path; name, unless it names more than
-    a quarter of all symbols. symbols: symbol, name, package, path as strings."""
-    s = symbols.select("symbol", "name", "package", "path")
-    exact = s.filter(F.col("symbol") == task)
-    if not exact.isEmpty():
-        return exact.select("symbol")
-    package = s.filter(F.col("package") == task)
-    if package.isEmpty():
-        ends = s.filter(F.col("package").endswith("/" + task)).select("package").distinct()
-        short = ends.orderBy(F.length("package"), "package").limit(1)
-        package = s.join(short, "package", "left_semi")
-    if not package.isEmpty():
-        return package.select("symbol")
-    folder = task.rstrip("/")
-    path = s.filter((F.col("path") == folder) | F.col("path").startswith(folder + "/"))
-    if not path.isEmpty():
-        return path.select("symbol")
-    named = s.filter(F.lower("name").contains(task.lower()))
-    return named.select("symbol") if named.count() * 4 <= s.count() else named.limit(0).select("symbol")
+    """Seeds (symbol) of a task, without regard to case, outer blanks and slashes. The first
+    that yields any: a symbol's id or short id (one symbol); a package, else the shortest
+    whose last parts it is; a file or folder; names that hold it, unless they are more than a
+    quarter of all symbols. Tests are no seeds. symbols: symbol, name, package, path, is_test.
+    """
+    q = task.strip().lower().replace("\\", "/").strip("/")
+    if not q:
+        return symbols.select("symbol").limit(0)
+    s = symbols.select("symbol", "name", "package", F.lower("path").alias("path"), F.lower("package").alias("p"), (~F.col("is_test")).alias("real"))
+    exact = F.col("real") & ((F.lower("symbol") == q) | (F.lower(scalar.short_id(F.col("symbol"))) == q))
+    package = F.when(F.col("real") & ((F.col("p") == q) | F.col("p").endswith("/" + q)), F.struct((F.col("p") != q).alias("part"), F.length("package"), "package"))
+    place = F.col("real") & ((F.col("path") == q) | F.col("path").startswith(q + "/") | (coupling.directory(F.col("path")) == q))
+    named = F.col("real") & F.contains(F.lower("name"), F.lit(q))
+    g = s.agg(F.min(F.when(exact, F.col("symbol"))).alias("one"), F.min(package).alias("best"), F.count_if(place).alias("placed"), F.count_if(named).alias("named"), F.count(F.lit(1)).alias("n")).first()
+    if g["one"] is not None:
+        return s.filter(F.col("symbol") == g["one"]).select("symbol")
+    if g["best"] is not None:
+        return s.filter(F.col("real") & (F.col("package") == g["best"]["package"])).select("symbol")
+    if g["placed"]:
+        return s.filter(place).select("symbol")
+    return s.filter(named & F.lit(g["named"] <= g["n"] // 4)).select("symbol")
+
+
+def centrality_signal(ranks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """node, value of PageRank (node, rank): known symbols that are no tests; generated ones stay."""
+    return ranks.join(symbols.filter("NOT is_test").select(F.col("symbol").alias("node")).distinct(), "node", "left_semi").select("node", F.col("rank").alias("value"))
+
+
+def proximity_signal(near: DataFrame, symbols: DataFrame) -> DataFrame:
+    """node, value of hops from the task (node, hops), halved every two hops; tests and what
+    can't be reached have none. The value is absolute and not ranked."""
+    tests = symbols.filter("is_test").select(F.col("symbol").alias("node")).distinct()
+    return near.join(tests, "node", "left_anti").select("node", scalar.hop_decay(F.col("hops")).alias("value"))
+
+
+def quantile(values: DataFrame, value: str, q: float) -> DataFrame:
+    """The value at q (n - 1), interpolated between the two beside it."""
+    return values.agg(F.percentile(value, F.lit(q)).alias("quantile"))
 
 
 def to_json(path: DataFrame, signals: list[str]) -> DataFrame:

@@ -380,21 +380,22 @@ mets AS (SELECT c, hits / least(10, (SELECT count(*) FROM ranked))::DOUBLE AS p,
 """
 
 
-def _metrics(v: View) -> DataFrame:
-    """Largest files against what newcomers touch; one ranking serves all cases."""
+def _cases_truth(v: View) -> DataFrame:
+    """case, item: what newcomers touch in their first 90 days."""
     cases = backtest.find_cases(v.commits, v.commit_files).select("author", "first_seen")
     own = v.commits.join(cases, "author").filter(F.col("ts") <= F.col("first_seen") + F.expr("INTERVAL 90 DAYS"))
-    truth = own.join(v.commit_files, "hash").select(F.col("author").alias("case"), F.col("path").alias("item")).distinct()
+    return own.join(v.commit_files, "hash").select(F.col("author").alias("case"), F.col("path").alias("item")).distinct()
+
+
+def _metrics(v: View) -> DataFrame:
+    """Largest files against what newcomers touch; one ranking serves all cases."""
     ranked = backtest.rank_files(history.largest_files(v.symbols)).select(F.col("path").alias("item"), "pos")
-    shown = ranked.agg(F.least(F.lit(10), F.count(F.lit(1))).alias("shown"))
-    g = truth.join(ranked, "item", "left").groupBy("case").agg(F.count_if(F.col("pos") <= 10).alias("hits"), F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).crossJoin(F.broadcast(shown))
-    p, r = F.col("hits") / F.nullif("shown", F.lit(0)), F.col("hits") / F.col("n")
-    return g.select("case", F.lit("largest").alias("strategy"), p.alias("precision"), r.alias("recall"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"))
+    return backtest.metrics_of_one(ranked, _cases_truth(v), "largest")
 
 
 @query("backtest_metrics", METRIC_SQL + 'SELECT c AS case_id, round(p, 6) AS "precision", round(r, 6) AS recall, round(rr, 6) AS rr FROM mets')
 def backtest_metrics(spark, d):
-    return _round(_metrics(View(spark, d)), "precision", "recall", "rr").drop("strategy").withColumnRenamed("case", "case_id")
+    return _round(_metrics(View(spark, d)), "precision", "recall", "rr").drop("strategy", "f1").withColumnRenamed("case", "case_id")
 
 
 @query("backtest_summary", METRIC_SQL + "SELECT 'largest' AS strategy, count(*) AS cases, round(avg(p), 6) AS \"precision\", round(avg(r), 6) AS recall, round(avg(rr), 6) AS mrr, round(quantile_cont(p, 0.5), 6) AS median FROM mets")
@@ -417,7 +418,8 @@ def matched_pairs(spark, d):
 
 LIFT = PAIRS.format(most=20) + ", hot AS (SELECT a AS path FROM hidden UNION SELECT b FROM hidden), " + ORDERED[2:] + """, own AS (SELECT o.hash, corrective, hash IN (SELECT hash FROM commit_files JOIN hot USING (path)) AS coupled FROM ordered o JOIN newcomer n ON n.author = o.author AND o.ts <= first_seen + INTERVAL 90 DAY)
 , s AS (SELECT count(*) AS commits, sum(coupled::INT) AS c_on, sum(corrective::INT) AS fixes, sum((corrective AND coupled)::INT) AS fixes_on FROM own)
-SELECT commits, CAST(fixes AS BIGINT) AS fixes, round(c_on / commits, 6) AS base, round(fixes_on / fixes, 6) AS fix_rate, round((fixes_on / fixes) / (c_on / commits), 6) AS lift FROM s"""
+SELECT commits, CAST(fixes AS BIGINT) AS fixes, round(c_on / commits, 6) AS base, round(fixes_on / fixes, 6) AS fix_rate, round((fixes_on / fixes) / (c_on / commits), 6) AS lift,
+  CASE WHEN fixes < 15 THEN 'too few fixes' WHEN fixes_on < 5 THEN 'too few hits' WHEN c_on = 0 THEN 'never touched' WHEN (fixes_on / fixes) / (c_on / commits) >= 1.5 THEN 'strong' WHEN (fixes_on / fixes) / (c_on / commits) > 1.1 THEN 'modest' WHEN (fixes_on / fixes) / (c_on / commits) >= 0.9 THEN 'none' ELSE 'opposite' END AS verdict FROM s"""
 
 
 @query("coupling_lift", LIFT)
@@ -430,7 +432,7 @@ def coupling_lift(spark, d):
     own = c.join(first, "author").filter(F.col("ts") <= F.col("first_seen") + F.expr("INTERVAL 90 DAYS"))
     on = v.commit_files.join(hot, "path", "left_semi").select("hash").distinct().withColumn("on", F.lit(True))
     own = own.join(on, "hash", "left").select("corrective", F.coalesce("on", F.lit(False)).alias("coupled"))
-    return _round(backtest.coupling_lift(own), "base", "fix_rate", "lift").select("commits", "fixes", "base", "fix_rate", "lift")
+    return _round(backtest.coupling_lift(own), "base", "fix_rate", "lift").select("commits", "fixes", "base", "fix_rate", "lift", "verdict")
 
 
 @query("direction_questions", STATIC + " SELECT src AS symbol, min(dst) AS callee FROM statics s WHERE NOT EXISTS (SELECT 1 FROM statics t WHERE t.src = s.dst AND t.dst = s.src) GROUP BY src")
@@ -490,13 +492,13 @@ def familiarity(spark, d):
 
 @query(
     "probe_health",
-    ", l AS (SELECT event_type NOT IN ('click', 'view') AND event_type <> 'purchase' AS skip, CAST(floor(value * 1000) AS BIGINT) AS ms FROM events), t AS (SELECT list_sort(list(ms)) AS x FROM l WHERE NOT skip AND ms > 0) SELECT count(*) AS asked, count(*) FILTER (NOT skip) AS answered, count(*) FILTER (skip) AS skipped, (SELECT x[len(x) // 2 + 1] FROM t) AS median FROM l",
+    ", l AS (SELECT event_type NOT IN ('click', 'view') AND event_type <> 'purchase' AS skip, CAST(floor(value * 1000) AS BIGINT) AS ms FROM events), t AS (SELECT list_sort(list(ms)) AS x FROM l WHERE NOT skip AND ms > 0) SELECT count(*) AS asked, count(*) FILTER (NOT skip) AS answered, count(*) FILTER (skip) AS skipped, (SELECT x[len(x) // 2 + 1] FROM t) AS median, coalesce((SELECT x[len(x) // 2 + 1] FROM t), 0) > 30000 OR (count(*) >= 5 AND count(*) FILTER (skip) / count(*) > 0.6) AS broken FROM l",
 )
 def probe_health(spark, d):
     e = View(spark, d).table("events")
     skip = ~F.col("event_type").isin("click", "view", "purchase")
     log = e.select(F.when(skip, "skipped").otherwise("answered").alias("outcome"), F.floor(F.col("value") * 1000).cast("long").alias("elapsed_ms"))
-    return probes.health(log).select("asked", "answered", "skipped", "median")
+    return probes.health(log).select("asked", "answered", "skipped", "median", "broken")
 
 
 @query("text_predicates", f"SELECT lang, count(*) FILTER (regexp_matches(text, '(?i)\\b({'|'.join(scalar.FIX_WORDS)})\\b')) AS fixes, count(*) FILTER (regexp_matches(text, '(?i)\\b({'|'.join(scalar.REVERT_WORDS)})\\b')) AS reverts, count(*) AS n FROM documents GROUP BY lang")
