@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathfold.llm import wordhash
+from pathfold.llm.columns import column
 from pathfold.llm.jaccard import binary
 from pathfold.scratch import Scratch, free_shuffles
 
@@ -284,7 +285,7 @@ class Model:
 def train(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> Model:
     """Counts over all rows of docs that are not held out."""
     spark = docs.sparkSession
-    texts = docs.filter(~held_out(id_col)).select(F.col(text_col).cast("string").alias("text"))
+    texts = docs.filter(~held_out(id_col)).select(column(text_col).cast("string").alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
     pair_shards, word_shards = size["b"] // PAIR_BYTES + 1, size["b"] // WORD_BYTES + 1
     folder = f"{scratch.path}/model"
@@ -307,7 +308,7 @@ def train(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> Mode
 
 
 def held_out(id_col: str):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 7 == 2, F.lit(False))
+    return F.coalesce(F.crc32(column(id_col).cast("string")) % 7 == 2, F.lit(False))
 
 
 def perplexity_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,7 +329,7 @@ def perplexity_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 )
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
-    return docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(column(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), column(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 QUERY = "op4_kneser_ney"

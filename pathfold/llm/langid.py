@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathfold.llm import wordhash
+from pathfold.llm.columns import column
 
 #: Labelled texts learnt from at most, for each language (a uniform draw by hash).
 SAMPLE = 500
@@ -114,7 +115,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Ranks are taken per language and hash range after a cut by range, so no language gathers
     in one task; the profiles (BINS numbers each) of the sample come to the driver.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = docs.select(column(id_col).alias("__id"), column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(F.crc32(F.col("__id").cast("string")) % 4 != 2, F.lit(False)))
     draw = F.xxhash64("__id", F.lit(3))
     ids = rows.select("__id", "lang", draw.alias("draw")).withColumn("range", F.spark_partition_id() % 64)
@@ -164,7 +165,7 @@ def predict(docs: DataFrame, codes: Codes, id_col: str = "doc_id", text_col: str
                 leads += np.where(has, lead, 0.0).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array([x < MARGIN for x in leads], pa.bool_())], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+    found = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathfold.llm import license_match
+from pathfold.llm.columns import column
 from pathfold.scratch import Scratch
 
 #: Short notices of common licenses.
@@ -54,8 +55,8 @@ def _spans(text):
 def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, path, own_license, similarity, license, inherited_from for every file."""
     spark = files.sparkSession
-    lines = F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda x: x.rlike(f"(?i){NOTICE}"))
-    base = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), lines.alias("lines"), _spans(F.col(text_col).cast("string")).alias("span"))
+    lines = F.filter(F.split(column(text_col).cast("string"), "\n"), lambda x: x.rlike(f"(?i){NOTICE}"))
+    base = files.select(column(id_col).alias("doc_id"), column(path_col).cast("string").alias("path"), lines.alias("lines"), _spans(column(text_col).cast("string")).alias("span"))
     base = Scratch(spark, "licenses").write(base, "lines")  # texts are read once
     terms = lambda c: F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
     notices = base.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("n")).withColumn("terms", terms(F.col("line")))

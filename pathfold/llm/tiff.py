@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathfold.llm.columns import column
+
 # Fixed values of the format: tag numbers, value sizes by type, and compression codes.
 WIDTH, HEIGHT, BITS_PER_SAMPLE, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 273, 277, 278, 279, 284, 317
@@ -150,6 +152,8 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
+#: Samples of one page at most; a file may claim any number.
+MOST_SAMPLES = 1 << 30
 PACK = {NONE: bytes, LZW: pack_lzw, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: pack_packbits}
 UNPACK = {NONE: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_packbits}
 
@@ -184,37 +188,74 @@ def _directories(data: bytes) -> Iterator[dict[int, list[int]]]:
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
 
 
-def _cell(data: bytes, at: int, size: int, packing: int, predictor: int, width: int, samples: int, rows: int) -> np.ndarray:
-    raw = UNPACK[packing](data[at : at + size])
-    cell = np.frombuffer(raw, np.uint8)[: rows * width * samples]
-    if len(cell) < rows * width * samples:
+def _unpacked(data: bytes, packing: int, size: int) -> bytes:
+    """The first `size` bytes of packed data; no more are made of deflate, and other packings
+    are at most a few thousand times smaller."""
+    if packing in (DEFLATE, OLD_DEFLATE):
+        return zlib.decompressobj().decompress(data, size)
+    return UNPACK[packing](data)
+
+
+def _cell(data: bytes, place: tuple[int, int], packing: int, predictor: int, kind: np.dtype, shape: tuple[int, int, int]) -> np.ndarray:
+    at, size = place
+    n = int(np.prod(shape))
+    cell = np.frombuffer(_unpacked(data[at : at + size], packing, n * kind.itemsize)[: n * kind.itemsize], np.uint8)
+    if len(cell) < n * kind.itemsize:
         raise ValueError("too few samples")
-    cell = cell.reshape(rows, width, samples)
-    return np.cumsum(cell, axis=1, dtype=np.uint8) if predictor == 2 else cell
+    cell = cell.view(kind).reshape(shape).astype(kind.newbyteorder("<"))
+    return np.cumsum(cell, axis=1, dtype=cell.dtype) if predictor == 2 else cell
+
+
+def _plane(data: bytes, tags: dict[int, list[int]], nth: int, packing: int, predictor: int, kind: np.dtype, size: tuple[int, int, int]) -> np.ndarray:
+    """The nth plane of a page: all strips or tiles of one plane in order."""
+    height, width, samples = size
+    tiled = TILE_OFFSETS in tags
+    places = list(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_COUNTS if tiled else STRIP_COUNTS], strict=True))
+    if tiled:
+        tw, th = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]
+        if not 0 < tw <= MOST_SAMPLES or not 0 < th <= MOST_SAMPLES or tw * th * samples > MOST_SAMPLES:
+            raise ValueError("tile too large")
+        across, down = -(-width // tw), -(-height // th)
+        if across * tw * down * th * samples > MOST_SAMPLES:
+            raise ValueError("page too large")
+        page = np.zeros((down * th, across * tw, samples), kind.newbyteorder("<"))
+        for i, place in enumerate(places[nth * across * down : (nth + 1) * across * down]):
+            y, x = i // across * th, i % across * tw
+            page[y : y + th, x : x + tw] = _cell(data, place, packing, predictor, kind, (th, tw, samples))
+        return page[:height, :width]
+    per = min(tags.get(ROWS_PER_STRIP, [height])[0], height) or 1
+    down = -(-height // per)
+    if len(places) < (nth + 1) * down:
+        raise ValueError("too few strips")
+    cells = [_cell(data, place, packing, predictor, kind, (min(per, height - i * per), width, samples)) for i, place in enumerate(places[nth * down : (nth + 1) * down])]
+    return np.concatenate(cells) if cells else np.zeros((0, width, samples), kind.newbyteorder("<"))
 
 
 def read_pages(data: bytes) -> Iterator[Page]:
-    """The pages of a file in order; raises ValueError where the file breaks."""
+    """The pages of a file in order; raises ValueError where the file breaks.
+
+    Samples have 8 or 16 bits (pixels then are little-endian), in one plane or in one for each
+    sample; a page has at most MOST_SAMPLES.
+    """
+    order = "<" if data[:2] == b"II" else ">"
     for number, tags in enumerate(_directories(data)):
+        if any(not values for values in tags.values()):
+            raise ValueError("a tag without values")
         one = lambda tag, default, tags=tags: tags.get(tag, [default])[0]
         width, height, samples = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
-        packing, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
-        if packing not in UNPACK or predictor not in (1, 2) or any(b != 8 for b in tags.get(BITS_PER_SAMPLE, [8])) or one(PLANAR, 1) != 1:
+        packing, predictor, planes = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
+        bits = set(tags.get(BITS_PER_SAMPLE, [8]))
+        if packing not in UNPACK or predictor not in (1, 2) or bits not in ({8}, {16}) or planes not in (1, 2):
             raise ValueError("unsupported kind of page")
+        if width * height * samples > MOST_SAMPLES:
+            raise ValueError("page too large")
+        kind = np.dtype(np.uint8) if bits == {8} else np.dtype(order + "u2")
         try:
-            if TILE_OFFSETS in tags:
-                tw, th = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)
-                across, down = -(-width // tw), -(-height // th)
-                page = np.zeros((down * th, across * tw, samples), np.uint8)
-                for i, (at, size) in enumerate(zip(tags[TILE_OFFSETS], tags[TILE_COUNTS], strict=True)):
-                    y, x = i // across * th, i % across * tw
-                    page[y : y + th, x : x + tw] = _cell(data, at, size, packing, predictor, tw, samples, th)
-                page = page[:height, :width]
+            if planes == 2:
+                page = np.concatenate([_plane(data, tags, k, packing, predictor, kind, (height, width, 1)) for k in range(samples)], axis=2)
             else:
-                per = min(one(ROWS_PER_STRIP, height), height) or 1
-                strips = zip(tags[STRIP_OFFSETS], tags[STRIP_COUNTS], strict=True)
-                page = np.concatenate([_cell(data, at, size, packing, predictor, width, samples, min(per, height - i * per)) for i, (at, size) in enumerate(strips)])
-        except (zlib.error, KeyError, IndexError, ZeroDivisionError) as e:
+                page = _plane(data, tags, 0, packing, predictor, kind, (height, width, samples))
+        except (zlib.error, KeyError, IndexError, ZeroDivisionError, OverflowError, MemoryError) as e:
             raise ValueError(f"broken page: {e}") from e
         yield Page(number, width, height, samples, packing, page.tobytes())
 
@@ -268,7 +309,7 @@ def tiff_pages(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 try:
                     for p in read_pages(data):
                         rows.append((p.number, p.width, p.height, p.samples, p.compression, p.pixels, None))
-                except ValueError as e:
+                except (ValueError, struct.error) as e:
                     error = str(e)
                 if error or not rows:
                     rows.append((len(rows), None, None, None, None, None, error or "no pages"))
@@ -276,7 +317,7 @@ def tiff_pages(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([key] * len(rows)), *columns], names=["id", "page", "width", "height", "samples", "compression", "pixels", "error"])
 
     schema = f"id {kind}, page int, width int, height int, samples int, compression int, pixels binary, error string"
-    return media.select(F.col(id_col).alias("id"), F.col(media_col).cast("binary").alias("media")).mapInArrow(run, schema)
+    return media.select(column(id_col).alias("id"), column(media_col).cast("binary").alias("media")).mapInArrow(run, schema)
 
 
 def feature(pages: list[Page]) -> str:
@@ -307,7 +348,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
 
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int"
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 QUERY = "op7_tiff_pages"

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathfold.llm import wordhash
-from pathfold.llm.columns import column, quoted, spare
+from pathfold.llm.columns import column, spare
 
 #: Labelled rows learnt from at most (a uniform draw by hash), and passes over them.
 SAMPLE = 12000
@@ -156,12 +156,14 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
                 out.append(1 / (1 + np.exp(-np.clip(total, -35, 35))))
             s = np.concatenate(out) if out else np.zeros(0)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(s, pa.float64())], names=[*batch.schema.names[:-1], name])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(s, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
-    name, text = spare(docs, keep or "score", "text_of_row")
+    (name,) = spare(docs, keep or "score")
     columns = docs.columns if keep else [id_col]
-    schema = ", ".join(f"{quoted(c)} {docs.schema[c].dataType.simpleString()}" for c in columns) + f", {quoted(name)} double"
-    scored = docs.select(*map(column, columns), column(text_col).cast("string").alias(text)).mapInArrow(run, schema)
+    place = [f"c{i}" for i in range(len(columns))]  # mapInArrow takes plain names only
+    schema = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for p, c in zip(place, columns, strict=True)) + ", score double"
+    rows = docs.select(*(column(c).alias(p) for p, c in zip(place, columns, strict=True)), column(text_col).cast("string").alias("text"))
+    scored = rows.mapInArrow(run, schema).toDF(*columns, name)
     if keep:
         return scored
     held = F.coalesce(F.crc32(column(id_col).cast("string")) % 3 == 1, F.lit(False))
