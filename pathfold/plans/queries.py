@@ -323,10 +323,10 @@ def reading_path(spark, d):
     return ranking.tiers(ranking.top(_score(View(spark, d)), 40)).select("symbol", "score", "tier")
 
 
-def _signals(v: View) -> dict[str, DataFrame]:
+def _signals(v: View, **rounds) -> dict[str, DataFrame]:
     """path and value of the six signals that need no task, not normalised."""
     changes = _changes(v)
-    rank = graph.pagerank(v.edges, graph.nodes_of(v.edges)).join(v.files.filter("NOT is_test").select(F.col("path").alias("node")), "node", "left_semi")
+    rank = graph.pagerank(v.edges, graph.nodes_of(v.edges), **rounds).join(v.files.filter("NOT is_test").select(F.col("path").alias("node")), "node", "left_semi")
     found = {
         "centrality": rank.select(F.col("node").alias("path"), (F.col("rank") * 1000).alias("value")),
         "churn": history.churn(changes).withColumnRenamed("churn", "value"),
@@ -338,14 +338,42 @@ def _signals(v: View) -> dict[str, DataFrame]:
     return {k: _round(x, "value") for k, x in found.items()}  # so that equal sums tie
 
 
-def _score_all(v: View) -> DataFrame:
+def _score_all(v: View, **rounds) -> DataFrame:
     """Each signal is spread to its file's symbols and ranked over all of them."""
     scratch = Scratch(v.spark, "score")
     of = scratch.write(v.symbols.select("symbol", "path", "is_test", "generated"), "symbols")
-    spread = {k: ranking.percentile_rank(of.join(scratch.write(x, k), "path").select("symbol", "value"), "symbol", "value", "rank").withColumnRenamed("rank", "value") for k, x in _signals(v).items()}
+    spread = {k: ranking.percentile_rank(of.join(scratch.write(x, k), "path").select("symbol", "value"), "symbol", "value", "rank").withColumnRenamed("rank", "value") for k, x in _signals(v, **rounds).items()}
     return _round(ranking.weighted_score(of, spread), "score")
 
 
+SIX = PAIRS.format(most=20) + _pagerank_sql(3) + """, sig AS (
+  SELECT 0.20 AS w, node AS path, round(rank * 1000, 6) AS value FROM r3 WHERE node IN (SELECT path FROM files WHERE NOT is_test)
+  UNION ALL SELECT 0.15, path, round(churn, 6) FROM churn
+  UNION ALL SELECT 0.25, path, round(sum(strength), 6) FROM (SELECT a AS path, strength FROM hidden UNION ALL SELECT b, strength FROM hidden) GROUP BY path
+  UNION ALL SELECT 0.1500001, path, round(f / n * ln(1 + f), 6) FROM (SELECT path, sum(corrective::INT)::DOUBLE AS f, count(*) AS n FROM changes GROUP BY path) WHERE f > 0
+  UNION ALL SELECT 0.10, path, round(o / t * ln(1 + o), 6) FROM (SELECT path, sum(CASE WHEN coalesce(last_active < now - INTERVAL 90 DAY, true) THEN lines ELSE 0 END)::DOUBLE AS o, sum(lines) AS t FROM authorship, nowt GROUP BY path) WHERE t > 0 AND o > 0
+  UNION ALL SELECT 0.05, path, round(a / t * ln(1 + a), 6) FROM (SELECT path, sum(CASE WHEN marked THEN added ELSE 0 END)::DOUBLE AS a, sum(added) AS t FROM changes GROUP BY path) WHERE a > 0 AND t > 0),
+spread AS (SELECT w, symbol, value FROM sig JOIN symbols USING (path) WHERE value > 0),
+placed AS (SELECT w, symbol, CASE WHEN n = 1 THEN 1.0 ELSE (r + (c - 1) / 2.0) / (n - 1) END AS v FROM (SELECT w, symbol, rank() OVER (PARTITION BY w ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY w, value) AS c, count(*) OVER (PARTITION BY w) AS n FROM spread)),
+scored AS (SELECT symbol, round(coalesce(total, 0) / 0.90, 6) AS score FROM symbols LEFT JOIN (SELECT symbol, sum(round(w, 2)::DOUBLE * v) AS total FROM placed GROUP BY symbol) USING (symbol) WHERE NOT is_test AND NOT generated)
+"""
+
+
+@query("composite_score_six", SIX + "SELECT symbol, score FROM scored")
+def composite_score_six(spark, d):
+    """All six signals, with PageRank at three rounds so that SQL can follow."""
+    return _score_all(View(spark, d), rounds=3, tolerance=0.0).select("symbol", "score")
+
+
+@query(
+    "reading_path_six",
+    SIX + "SELECT symbol, score, CASE WHEN score >= 0.70 * max(score) OVER () THEN 1 WHEN score >= 0.40 * max(score) OVER () THEN 2 ELSE 3 END AS tier FROM (SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, symbol LIMIT 40)",
+)
+def reading_path_six(spark, d):
+    chosen = ranking.top(_score_all(View(spark, d), rounds=3, tolerance=0.0), 40)
+    return ranking.tiers(chosen).select("symbol", "score", "tier")
+
+
 @query("composite_score_all")
 def composite_score_all(spark, d):
     return _score_all(View(spark, d)).select("symbol", "score")
