@@ -9,7 +9,8 @@ words have mass.
 
 Edge cases: null and empty texts are one end token; without training texts every token is
 unknown and the model is uniform; a null id counts as training; repeated rows are scored
-alike and each counts; other columns are ignored.
+alike and each counts; texts of any length are read whole; ties do not arise; an empty table
+gives an empty result; ids may have any type; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

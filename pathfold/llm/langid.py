@@ -7,7 +7,9 @@ codeword of least loss. A small distance to the runner-up flags the text as ambi
 
 Edge cases: texts that are null or have no letter are `und` with score 0; without labelled
 rows every text is `und`; with one language it is always that one; repeated rows are
-predicted alike; other columns are ignored.
+predicted alike; of languages with one loss the first by code point is taken, and flagged;
+texts of any length are read whole; an empty table gives an empty result; ids may have any
+type; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

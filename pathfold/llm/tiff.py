@@ -2,12 +2,14 @@
 
 The reader walks the chain of image directories (either byte order), decodes strips or
 tiles that are stored plainly or packed by PackBits, LZW or deflate, undoes horizontal
-differencing, and yields each page's samples. The writer stores bytes as 8-bit grey pages
+differencing, and yields each page's samples (8 or 16 bits, in one plane or several). The writer stores bytes as 8-bit grey pages
 for lossless round trips.
 
 Edge cases: null and empty media give one row without pixels and with a message in
 `error`; so do broken files, whose good pages before the break are still given; repeated
-rows are read alike; other columns are ignored.
+rows are read alike; texts of any length are stored whole; ties do not arise; ids may be null
+or of any type; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ weights at zero, so the model is a short sorted list of hashes and weights.
 
 Edge cases: null and empty texts get the score of the bias alone; without labelled rows
 every score is the bias of an untrained model; rows with a null label or id are not learnt
-from; repeated rows are scored alike; other columns are ignored.
+from; texts of any length are read whole; of ids that the draw's hash ties the lesser comes
+first; repeated rows are scored alike; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
