@@ -1,16 +1,18 @@
-"""Interpolated modified Kneser-Ney word bigrams, counted in Spark.
+"""Interpolated modified Kneser-Ney n-grams of words, counted in Spark.
 
 Counts are kept as arrays sorted by 64-bit hash, cut into shards by hash range, as plain
 files in the shared folder; workers map them into memory and look up whole blocks of texts
-at once. The first pass counts pairs; the second derives from the pair counts, occurrence by
-occurrence, how many pairs each word begins (with count 1, 2, more) and ends; the third
-scores. A word's lower-order estimate interpolates with the uniform 1 / (V + 1), so unknown
-words have mass.
+at once. A text stands behind order - 1 begin tokens. The first pass counts the longest
+n-grams. Each further pass goes down by one word: from the counts of the n-grams above it
+derives, occurrence by occurrence, how often each n-gram stands, how many different words
+stand before it, and, as a context, how many follow it with count 1, 2 and more. The last
+pass scores. Single words interpolate with the uniform 1 / (V + 1), so unknown words have mass.
 
 Edge cases: null and empty texts are one end token; without training texts every token is
 unknown and the model is uniform; a null id counts as training; repeated rows are scored
 alike and each counts; texts of any length are read whole; ties do not arise; an empty table
-gives an empty result; ids may have any type; other columns are ignored, whatever their names.
+gives an empty result; ids may have any type; other columns are ignored, whatever their names;
+an order below 2 is refused.
 """
 
 from __future__ import annotations
@@ -32,12 +34,20 @@ from pathfold.llm.jaccard import binary
 from pathfold.scratch import Scratch, free_shuffles
 
 END, BEGIN = np.uint64(0x51ED270B0A1F3C5D), np.uint64(0x2545F4914F6CDD1D)
-#: Bytes of text for each shard of pairs, and for each shard of words.
-PAIR_BYTES, WORD_BYTES = 12_000_000, 24_000_000
+#: Words in the longest n-gram.
+ORDER = 3
+#: Bytes of text for each shard of the longest n-grams, of those between, and of words.
+TOP_BYTES, MIDDLE_BYTES, WORD_BYTES = 12_000_000, 4_000_000, 24_000_000
 BLOCK = 8 << 20
+#: N-grams whose statistics a task holds before it adds them up.
+HELD = 2_000_000
 #: Shards that a worker has mapped before it lets go of all of them.
 MAPS = 8192
-_WORD = np.dtype([("h", "<u8"), ("c", "<i8"), ("one", "<i8"), ("two", "<f8"), ("more", "<f8"), ("ends", "<f8")])
+#: Of an n-gram: how often it stands and how many words stand before it; of what follows it:
+#: the sum of the counts, and how many have count 1, 2 and more.
+_FIELDS = ("c", "ends", "total", "one", "two", "more")
+_SENT = np.dtype([("h", "<u8"), ("c", "<i8"), *((name, "<f8") for name in _FIELDS[1:])])
+_WIDE, _NARROW = (np.dtype([(name, kind) for name in _FIELDS]) for kind in ("<i8", "<u4"))
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -98,6 +108,9 @@ class Store:
     def __getstate__(self):
         return {**self.__dict__, "_open": {}}
 
+    def load(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        return fetch(self.folder, f"{self.kind}-{shard}.hash", "<u8"), fetch(self.folder, f"{self.kind}-{shard}.value", self.value)
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For sorted distinct hashes: whether each is there, and its value."""
         there, value = np.zeros(len(h), bool), np.zeros(len(h), self.value)
@@ -108,7 +121,7 @@ class Store:
             if s not in self._open:
                 if len(self._open) >= MAPS:
                     self._open.clear()
-                self._open[s] = (fetch(self.folder, f"{self.kind}-{s}.hash", "<u8"), fetch(self.folder, f"{self.kind}-{s}.value", self.value))
+                self._open[s] = self.load(s)
             keys, values = self._open[s]
             part = slice(cuts[s], cuts[s + 1])
             at = np.minimum(np.searchsorted(keys, h[part]), len(keys) - 1)
@@ -120,24 +133,48 @@ class Store:
         return there, value
 
 
-def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words and one end for each row: token hashes, the hash before each, its row."""
-    h, begin = wordhash.words(raw, offsets)
-    n = np.diff(begin)
-    row = np.repeat(np.arange(len(n)), n + 1)
-    last = np.cumsum(n + 1) - 1
-    out = np.empty(len(row), np.uint64)
-    out[last] = END
-    inner = np.ones(len(row), bool)
-    inner[last] = False
-    out[inner] = h
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[last - n] = BEGIN
-    return out, before, row
-
-
-def pair_hash(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+@dataclass
+class Stats(Store):
+    """A store of _FIELDS; shards without large numbers are kept in half the bytes."""
+
+    def load(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        keys, raw = fetch(self.folder, f"{self.kind}-{shard}.hash", "<u8"), fetch(self.folder, f"{self.kind}-{shard}.value", np.uint8)
+        return keys, raw.view(_NARROW if len(raw) == len(keys) * _NARROW.itemsize else _WIDE)
+
+
+class Grams:
+    """The n-grams of some rows that end at each word and at one end for each row.
+
+    row: the row of each token; ending(k): hashes of the last k tokens; before(k): of the k
+    tokens before the token.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, order: int):
+        h, begin = wordhash.words(raw, offsets)
+        n = np.diff(begin)
+        self.row = np.repeat(np.arange(len(n)), n + 1)
+        last = np.cumsum(n + order) - 1
+        every = np.full(int((n + order).sum()), BEGIN, np.uint64)
+        every[last] = END
+        self.at = np.arange(len(self.row)) + (self.row + 1) * (order - 1)
+        inner = np.ones(len(self.at), bool)
+        inner[np.cumsum(n + 1) - 1] = False
+        every[self.at[inner]] = h
+        self.hashes = [every]
+        for _ in range(order - 1):
+            longer = np.zeros_like(every)
+            longer[1:] = extend(self.hashes[-1][:-1], every[1:])
+            self.hashes.append(longer)
+
+    def ending(self, k: int) -> np.ndarray:
+        return self.hashes[k - 1][self.at]
+
+    def before(self, k: int) -> np.ndarray:
+        return self.hashes[k - 1][self.at - 1]
+
+
+def extend(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams with one more token."""
     return wordhash.mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
 
 
@@ -149,18 +186,17 @@ def _send(shards: int, h: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), binary(h, cuts), binary(data, cuts)], names=["shard", "h", "v"])
 
 
-def _count_pairs(shards: int):
+def _count_top(order: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, raw, offsets in wordhash.blocks(batch.column(0), BLOCK):
-                token, before, _ = tokens(raw, offsets)
-                h, c = np.unique(pair_hash(before, token), return_counts=True)
+                h, c = np.unique(Grams(raw, offsets, order).ending(order), return_counts=True)
                 yield _send(shards, h, c.astype("<u4"))
 
     return run
 
 
-def _write_pairs(folder: str):
+def _write_top(folder: str, level: int):
     def run(table: pa.Table) -> pa.Table:
         h = np.frombuffer(b"".join(table["h"].to_pylist()), "<u8")
         c = np.frombuffer(b"".join(table["v"].to_pylist()), "<u4")
@@ -169,68 +205,74 @@ def _write_pairs(folder: str):
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         c = np.add.reduceat(c.astype(np.int64), first)
         shard = table["shard"][0].as_py()
-        put(folder, f"pair-{shard}.hash", h[first])
-        put(folder, f"pair-{shard}.value", np.minimum(c, 2**32 - 1).astype("<u4"))
-        return pa.table({"shard": pa.array([shard], pa.int32()), **{f"n{k}": pa.array([int((c == k).sum())], pa.int64()) for k in (1, 2, 3, 4)}, "n": pa.array([len(c)], pa.int64())})
+        put(folder, f"gram{level}-{shard}.hash", h[first])
+        put(folder, f"gram{level}-{shard}.value", np.minimum(c, 2**32 - 1).astype("<u4"))
+        return pa.table({"shard": pa.array([shard], pa.int32()), **{f"n{k}": pa.array([int((c == k).sum())], pa.int64()) for k in (1, 2, 3, 4)}})
 
     return run
 
 
-def _count_words(store: Store, shards: int):
-    def total(parts: list[np.ndarray]) -> np.ndarray:
-        every = np.concatenate(parts)
-        every = every[np.argsort(every["h"], kind="stable")]
-        first = np.flatnonzero(np.r_[True, every["h"][1:] != every["h"][:-1]])
-        out = np.zeros(len(first), _WORD)
-        out["h"] = every["h"][first]
-        for name in _WORD.names[1:]:
-            out[name] = np.add.reduceat(every[name], first)
-        return out
+def added(parts: list[np.ndarray]) -> np.ndarray:
+    """Statistics (_SENT) added up by hash, in its order."""
+    every = np.concatenate(parts)
+    every = every[np.argsort(every["h"], kind="stable")]
+    first = np.flatnonzero(np.r_[True, every["h"][1:] != every["h"][:-1]])
+    out = np.zeros(len(first), _SENT)
+    out["h"] = every["h"][first]
+    for name in _FIELDS:
+        out[name] = np.add.reduceat(every[name], first)
+    return out
+
+
+def _count_below(above: Store, level: int, order: int, shards: int):
+    """Statistics of the n-grams of a level from the counts of those with one word more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
             for _, _, raw, offsets in wordhash.blocks(batch.column(0), BLOCK):
-                token, before, _ = tokens(raw, offsets)
-                pairs, back = np.unique(pair_hash(before, token), return_inverse=True)
-                c = store.find(pairs)[1][back].astype(np.float64)
-                words, at = np.unique(np.concatenate([token, before]), return_inverse=True)
-                t, b = at[: len(token)], at[len(token) :]
-                part = np.zeros(len(words), _WORD)
-                part["h"] = words
-                part["c"] = np.bincount(t, minlength=len(words))
-                part["ends"] = np.bincount(t, 1 / c, len(words))
-                part["one"] = np.bincount(b, c == 1, len(words))
-                part["two"] = np.bincount(b, (c == 2) / 2, len(words))
-                part["more"] = np.bincount(b, np.where(c > 2, 1 / c, 0), len(words))
+                grams = Grams(raw, offsets, order)
+                longer, back = np.unique(grams.ending(level + 1), return_inverse=True)
+                found = above.find(longer)[1]
+                c, value = (found, found) if level + 1 == order else (found["c"], found["ends"])
+                once, value = 1 / c[back].astype(np.float64), value[back]  # of each n-gram, all its occurrences make one
+                names, at = np.unique(np.concatenate([grams.ending(level), grams.before(level)]), return_inverse=True)
+                t, b = at[: len(grams.at)], at[len(grams.at) :]
+                part = np.zeros(len(names), _SENT)
+                part["h"] = names
+                part["c"] = np.bincount(t, minlength=len(names))
+                part["ends"] = np.bincount(t, once, len(names))
+                part["total"] = np.bincount(b, once * value, len(names))
+                part["one"] = np.bincount(b, once * (value == 1), len(names))
+                part["two"] = np.bincount(b, once * (value == 2), len(names))
+                part["more"] = np.bincount(b, once * (value > 2), len(names))
                 parts.append(part)
                 held += len(part)
-                if held > 2_000_000:
-                    parts = [total(parts)]
-                    held = 0
+                if held > HELD:
+                    parts = [added(parts)]
+                    held = len(parts[0])
+                    if held > HELD // 2:
+                        yield _send(shards, np.ascontiguousarray(parts[0]["h"]), parts[0])
+                        parts, held = [], 0
         if parts:
-            done = total(parts)
+            done = added(parts)
             yield _send(shards, np.ascontiguousarray(done["h"]), done)
 
     return run
 
 
-def _write_words(folder: str):
+def _write_below(folder: str, level: int):
     def run(table: pa.Table) -> pa.Table:
-        every = np.frombuffer(b"".join(table["v"].to_pylist()), _WORD)
-        every = every[np.argsort(every["h"], kind="stable")]
-        first = np.flatnonzero(np.r_[True, every["h"][1:] != every["h"][:-1]])
-        out = np.zeros(len(first), _WORD)
-        out["h"] = every["h"][first]
-        for name in _WORD.names[1:]:
-            out[name] = np.add.reduceat(every[name], first)
-        for name in ("two", "more", "ends"):
-            out[name] = np.rint(out[name])
+        every = added([np.frombuffer(b"".join(table["v"].to_pylist()), _SENT)])
+        out = np.zeros(len(every), _WIDE)
+        for name in _FIELDS:
+            out[name] = np.rint(every[name])
         shard = table["shard"][0].as_py()
-        put(folder, f"word-{shard}.hash", np.ascontiguousarray(out["h"]))
-        put(folder, f"word-{shard}.value", out)
+        small = all(int(out[name].max()) < 1 << 32 for name in _FIELDS)
+        put(folder, f"gram{level}-{shard}.hash", np.ascontiguousarray(every["h"]))
+        put(folder, f"gram{level}-{shard}.value", out.astype(_NARROW) if small else out)
         e = out["ends"]
-        counts = {f"e{k}": int((e == k).sum()) for k in (1, 2, 3, 4)}
+        counts = {f"n{k}": int((e == k).sum()) for k in (1, 2, 3, 4)}
         counts |= {"total": int(out["c"].sum()), "distinct": int((out["c"] > 0).sum()), "types": int(e.sum()), "more": int((e > 2).sum())}
         return pa.table({"shard": pa.array([shard], pa.int32()), **{k: pa.array([v], pa.int64()) for k, v in counts.items()}})
 
@@ -246,76 +288,81 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Where the arrays are, and the totals and discounts."""
+    """Where the arrays of each level are, and the totals and discounts."""
 
-    pairs: Store
-    words: Store
+    levels: list[Store]
+    cuts: list[np.ndarray]
     total: int
     distinct: int
     types: int
-    pair_cut: np.ndarray
-    word_cut: np.ndarray
     spread: float
 
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """For each row: tokens, known tokens, base score, score."""
-        n = len(offsets) - 1
-        token, before, row = tokens(raw, offsets)
-        pairs, back = np.unique(pair_hash(before, token), return_inverse=True)
-        c2 = self.pairs.find(pairs)[1][back].astype(np.float64)
-        words, at = np.unique(np.concatenate([token, before]), return_inverse=True)
-        stats = self.words.find(words)[1]
-        t, b = stats[at[: len(token)]], stats[at[len(token) :]]
-        uniform = 1 / (self.distinct + 1)
-        low = np.full(len(token), uniform)
-        if self.types:
-            e = t["ends"]
-            low = (e - self.word_cut[np.minimum(e, 3).astype(np.int64)]) / self.types + self.spread * uniform
-        # what follows a word follows it as often as the word stands; the begin has no count
-        follows = np.where(before == BEGIN, self.begins, b["c"])
-        kept = c2 - self.pair_cut[np.minimum(c2, 3).astype(np.int64)]
-        freed = self.pair_cut[1] * b["one"] + self.pair_cut[2] * b["two"] + self.pair_cut[3] * b["more"]
-        safe = np.maximum(follows, 1)
-        p = np.where(follows > 0, kept / safe + freed / safe * low, low)
-        base = np.log10((t["c"] + 1) / (self.total + self.distinct + 1))
-        return np.bincount(row, minlength=n), np.bincount(row, t["c"] > 0, n).astype(np.int64), np.bincount(row, base, n), np.bincount(row, np.log10(p), n)
-
-    begins: int = 0
-
-
-def train(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> Model:
+        n, order = len(offsets) - 1, len(self.levels)
+        grams = Grams(raw, offsets, order)
+        p = np.full(len(grams.at), 1 / (self.distinct + 1))
+        follows = None  # statistics of the contexts, from the level below
+        for k, (store, cut) in enumerate(zip(self.levels, self.cuts, strict=True), 1):
+            if k < order:
+                names, at = np.unique(np.concatenate([grams.ending(k), grams.before(k)]), return_inverse=True)
+                found = store.find(names)[1]
+                own, context = found[at[: len(p)]], found[at[len(p) :]]
+                value = own["ends"].astype(np.float64)
+            else:
+                names, at = np.unique(grams.ending(k), return_inverse=True)
+                value = store.find(names)[1][at].astype(np.float64)
+            kept = value - cut[np.minimum(value, 3).astype(np.int64)]
+            if k == 1:
+                count = own["c"]
+                p = kept / self.types + self.spread * p if self.types else p
+            else:
+                freed = cut[1] * follows["one"] + cut[2] * follows["two"] + cut[3] * follows["more"]
+                safe = np.maximum(follows["total"], 1)
+                p = np.where(follows["total"] > 0, kept / safe + freed / safe * p, p)
+            follows = context
+        base = np.log10((count + 1) / (self.total + self.distinct + 1))
+        sums = [np.bincount(grams.row, x, n) for x in (count > 0, base, np.log10(p))]
+        return np.bincount(grams.row, minlength=n), sums[0].astype(np.int64), sums[1], sums[2]
+
+
+def train(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, order: int = ORDER) -> Model:
     """Counts over all rows of docs that are not held out."""
+    if order < 2:
+        raise ValueError("an order of 2 at least")
     spark = docs.sparkSession
     texts = docs.filter(~held_out(id_col)).select(column(text_col).cast("string").alias("text"))
-    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    pair_shards, word_shards = size["b"] // PAIR_BYTES + 1, size["b"] // WORD_BYTES + 1
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     folder = f"{scratch.path}/model"
-    sent = texts.mapInArrow(_count_pairs(pair_shards), "shard int, h binary, v binary")
-    made = sent.groupBy("shard").applyInArrow(_write_pairs(folder), "shard int, n1 long, n2 long, n3 long, n4 long, n long").collect()
-    pairs = Store(folder, "pair", pair_shards, frozenset(r["shard"] for r in made), "<u4")
-    del sent
-    free_shuffles(spark)
-    sent = texts.mapInArrow(_count_words(pairs, word_shards), "shard int, h binary, v binary")
-    kind = "shard int, e1 long, e2 long, e3 long, e4 long, total long, distinct long, types long, more long"
-    ends = sent.groupBy("shard").applyInArrow(_write_words(folder), kind).collect()
-    words = Store(folder, "word", word_shards, frozenset(r["shard"] for r in ends), _WORD)
     of = lambda rows, name: sum(r[name] for r in rows)
-    pair_cut, word_cut = discounts(*(of(made, f"n{k}") for k in (1, 2, 3, 4))), discounts(*(of(ends, f"e{k}") for k in (1, 2, 3, 4)))
-    types = of(ends, "types")
-    freed = word_cut[1] * of(ends, "e1") + word_cut[2] * of(ends, "e2") + word_cut[3] * of(ends, "more")
-    model = Model(pairs, words, of(ends, "total"), of(ends, "distinct"), types, pair_cut, word_cut, freed / types if types else 1.0)
-    model.begins = size["n"]
-    return model
+    kind, levels, cuts = "shard int, n1 long, n2 long, n3 long, n4 long", [], []
+    for level in range(order, 0, -1):
+        shards = size // (TOP_BYTES if level == order else WORD_BYTES if level == 1 else MIDDLE_BYTES) + 1
+        if level == order:
+            count, write, schema = _count_top(order, shards), _write_top(folder, level), kind
+        else:
+            count, write = _count_below(levels[0], level, order, shards), _write_below(folder, level)
+            schema = f"{kind}, total long, distinct long, types long, more long"
+        sent = texts.mapInArrow(count, "shard int, h binary, v binary")
+        made = sent.groupBy("shard").applyInArrow(write, schema).collect()  # a row for each shard
+        filled = frozenset(r["shard"] for r in made)
+        levels.insert(0, Store(folder, f"gram{level}", shards, filled, "<u4") if level == order else Stats(folder, f"gram{level}", shards, filled, _WIDE))
+        cuts.insert(0, discounts(*(of(made, f"n{k}") for k in (1, 2, 3, 4))))
+        del sent
+        free_shuffles(spark)
+    types = of(made, "types")
+    freed = cuts[0][1] * of(made, "n1") + cuts[0][2] * of(made, "n2") + cuts[0][3] * of(made, "more")
+    return Model(levels, cuts, of(made, "total"), of(made, "distinct"), types, freed / types if types else 1.0)
 
 
 def held_out(id_col: str):
     return F.coalesce(F.crc32(column(id_col).cast("string")) % 7 == 2, F.lit(False))
 
 
-def perplexity_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def perplexity_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     scratch = Scratch(docs.sparkSession, "kneser-ney")
-    model = train(docs, scratch, id_col, text_col)
+    model = train(docs, scratch, id_col, text_col, order)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # paths and totals only
     kind = docs.schema[id_col].dataType.simpleString()
 

@@ -57,11 +57,12 @@ def plain_kneser_ney(train, order=2):
     return score
 
 
-def test_kneser_ney_score(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_kneser_ney_score(spark, order):
     rng = np.random.default_rng(8)
     texts = [" ".join(rng.choice([f"w{k}" for k in range(30)], rng.integers(0, 40), p=np.arange(30, 0, -1) / 465)) for _ in range(120)] + [None, "never seen words"]
-    rows = {r["doc_id"]: r["score"] for r in kneser_ney.perplexity_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    score = plain_kneser_ney([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2])
+    rows = {r["doc_id"]: r["score"] for r in kneser_ney.perplexity_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), order=order).collect()}
+    score = plain_kneser_ney([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2], order)
     for i, t in enumerate(texts):
         assert rows[i] == pytest.approx(score(t), rel=1e-9)
 
