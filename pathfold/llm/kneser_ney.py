@@ -47,7 +47,13 @@ MAPS = 8192
 #: the sum of the counts, and how many have count 1, 2 and more.
 _FIELDS = ("c", "ends", "total", "one", "two", "more")
 _SENT = np.dtype([("h", "<u8"), ("c", "<i8"), *((name, "<f8") for name in _FIELDS[1:])])
-_WIDE, _NARROW = (np.dtype([(name, kind) for name in _FIELDS]) for kind in ("<i8", "<u4"))
+#: Of the longest n-grams only the first is kept.
+_TOP, _BELOW = np.dtype([("c", "<i8")]), np.dtype([(name, "<i8") for name in _FIELDS])
+#: Numbers from here on are kept apart from those of one byte.
+LARGE = 255
+#: Hash ranges of the levels between that are counted one after the other, so that fewer
+#: shuffle files exist at once.
+SLICES = 3
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -111,6 +117,9 @@ class Store:
     def load(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
         return fetch(self.folder, f"{self.kind}-{shard}.hash", "<u8"), fetch(self.folder, f"{self.kind}-{shard}.value", self.value)
 
+    def read(self, values, at: np.ndarray) -> np.ndarray:
+        return values[at]
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For sorted distinct hashes: whether each is there, and its value."""
         there, value = np.zeros(len(h), bool), np.zeros(len(h), self.value)
@@ -127,19 +136,36 @@ class Store:
             at = np.minimum(np.searchsorted(keys, h[part]), len(keys) - 1)
             hit = keys[at] == h[part]
             there[part] = hit
-            value[part] = np.where(hit, values[at], np.zeros(1, self.value)) if values.dtype.names is None else values[at]
-            if values.dtype.names is not None:
-                value[part][~hit] = np.zeros(1, self.value)
+            value[part] = self.read(values, at)
+            value[part][~hit] = np.zeros(1, self.value)
         return there, value
 
 
 @dataclass
 class Stats(Store):
-    """A store of _FIELDS; shards without large numbers are kept in half the bytes."""
+    """A store of counts: one byte for each, and a list of the rows with larger ones."""
 
-    def load(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        keys, raw = fetch(self.folder, f"{self.kind}-{shard}.hash", "<u8"), fetch(self.folder, f"{self.kind}-{shard}.value", np.uint8)
-        return keys, raw.view(_NARROW if len(raw) == len(keys) * _NARROW.itemsize else _WIDE)
+    def load(self, shard: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        width = len(self.value.names)
+        keys, small, large = (fetch(self.folder, f"{self.kind}-{shard}.{end}", kind) for end, kind in (("hash", "<u8"), ("value", np.uint8), ("large", "<i8")))
+        return keys, (small.reshape(-1, width), large.reshape(-1, width + 1))
+
+    def read(self, values: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
+        small, large = values
+        out = np.array(small[at], np.int64)
+        more = np.flatnonzero(out[:, 0] == LARGE)
+        out[more] = large[np.searchsorted(large[:, 0], at[more]), 1:]
+        return out.view(self.value)[:, 0]
+
+
+def put_stats(folder: str, name: str, h: np.ndarray, counts: np.ndarray) -> None:
+    """Sorted hashes and their counts, a row each; the last row of the list is no hash's."""
+    wide = np.flatnonzero((counts >= LARGE).any(1))
+    small = np.minimum(counts, LARGE).astype(np.uint8)
+    small[wide, 0] = LARGE
+    put(folder, f"{name}.hash", np.ascontiguousarray(h))
+    put(folder, f"{name}.value", small)
+    put(folder, f"{name}.large", np.vstack([np.column_stack([wide, counts[wide]]), np.full((1, counts.shape[1] + 1), len(h))]).astype("<i8"))
 
 
 class Grams:
@@ -205,8 +231,7 @@ def _write_top(folder: str, level: int):
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         c = np.add.reduceat(c.astype(np.int64), first)
         shard = table["shard"][0].as_py()
-        put(folder, f"gram{level}-{shard}.hash", h[first])
-        put(folder, f"gram{level}-{shard}.value", np.minimum(c, 2**32 - 1).astype("<u4"))
+        put_stats(folder, f"gram{level}-{shard}", h[first], c[:, None])
         return pa.table({"shard": pa.array([shard], pa.int32()), **{f"n{k}": pa.array([int((c == k).sum())], pa.int64()) for k in (1, 2, 3, 4)}})
 
     return run
@@ -224,24 +249,45 @@ def added(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _count_below(above: Store, level: int, order: int, shards: int):
-    """Statistics of the n-grams of a level from the counts of those with one word more."""
+def _send_stats(shards: int, stats: np.ndarray) -> pa.RecordBatch:
+    """Statistics by hash, one row for each shard, each field by itself (it packs better)."""
+    h = np.ascontiguousarray(stats["h"])
+    shard = shard_of(h, shards)
+    used = np.unique(shard)
+    cuts = np.r_[np.searchsorted(shard, used), len(h)]
+    fields = [binary(np.ascontiguousarray(stats[name]), cuts) for name in _SENT.names]
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *fields], names=["shard", *_SENT.names])
+
+
+def _count_below(above: Store, level: int, order: int, shards: int, low: int, high: int):
+    """Statistics of the n-grams of a level from the counts of those with one word more, for
+    the shards from low to below high."""
+
+    def inside(h: np.ndarray) -> np.ndarray:
+        shard = shard_of(h, shards)
+        return (shard >= low) & (shard < high)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
             for _, _, raw, offsets in wordhash.blocks(batch.column(0), BLOCK):
                 grams = Grams(raw, offsets, order)
-                longer, back = np.unique(grams.ending(level + 1), return_inverse=True)
-                found = above.find(longer)[1]
-                c, value = (found, found) if level + 1 == order else (found["c"], found["ends"])
-                once, value = 1 / c[back].astype(np.float64), value[back]  # of each n-gram, all its occurrences make one
-                names, at = np.unique(np.concatenate([grams.ending(level), grams.before(level)]), return_inverse=True)
-                t, b = at[: len(grams.at)], at[len(grams.at) :]
+                own, context = grams.ending(level), grams.before(level)
+                mine, ahead = inside(own), inside(context)
+                use = mine | ahead
+                if not use.any():
+                    continue
+                longer, back = np.unique(grams.ending(level + 1)[use], return_inverse=True)
+                found = above.find(longer)[1][back]
+                once = 1 / found["c"].astype(np.float64)  # of each n-gram, all its occurrences make one
+                value = found["c" if level + 1 == order else "ends"]
+                names, at = np.unique(np.concatenate([own[mine], context[ahead]]), return_inverse=True)
+                t, b = at[: mine.sum()], at[mine.sum() :]
+                share, once, value = once[mine[use]], once[ahead[use]], value[ahead[use]]
                 part = np.zeros(len(names), _SENT)
                 part["h"] = names
                 part["c"] = np.bincount(t, minlength=len(names))
-                part["ends"] = np.bincount(t, once, len(names))
+                part["ends"] = np.bincount(t, share, len(names))
                 part["total"] = np.bincount(b, once * value, len(names))
                 part["one"] = np.bincount(b, once * (value == 1), len(names))
                 part["two"] = np.bincount(b, once * (value == 2), len(names))
@@ -252,25 +298,23 @@ def _count_below(above: Store, level: int, order: int, shards: int):
                     parts = [added(parts)]
                     held = len(parts[0])
                     if held > HELD // 2:
-                        yield _send(shards, np.ascontiguousarray(parts[0]["h"]), parts[0])
+                        yield _send_stats(shards, parts[0])
                         parts, held = [], 0
         if parts:
-            done = added(parts)
-            yield _send(shards, np.ascontiguousarray(done["h"]), done)
+            yield _send_stats(shards, added(parts))
 
     return run
 
 
 def _write_below(folder: str, level: int):
     def run(table: pa.Table) -> pa.Table:
-        every = added([np.frombuffer(b"".join(table["v"].to_pylist()), _SENT)])
-        out = np.zeros(len(every), _WIDE)
-        for name in _FIELDS:
-            out[name] = np.rint(every[name])
+        every = np.empty(sum(len(x) for x in table["h"].to_pylist()) // 8, _SENT)
+        for name in _SENT.names:
+            every[name] = np.frombuffer(b"".join(table[name].to_pylist()), _SENT[name])
+        every = added([every])
+        out = {name: np.rint(every[name]).astype(np.int64) for name in _FIELDS}
         shard = table["shard"][0].as_py()
-        small = all(int(out[name].max()) < 1 << 32 for name in _FIELDS)
-        put(folder, f"gram{level}-{shard}.hash", np.ascontiguousarray(every["h"]))
-        put(folder, f"gram{level}-{shard}.value", out.astype(_NARROW) if small else out)
+        put_stats(folder, f"gram{level}-{shard}", every["h"], np.column_stack([out[name] for name in _FIELDS]))
         e = out["ends"]
         counts = {f"n{k}": int((e == k).sum()) for k in (1, 2, 3, 4)}
         counts |= {"total": int(out["c"].sum()), "distinct": int((out["c"] > 0).sum()), "types": int(e.sum()), "more": int((e > 2).sum())}
@@ -311,7 +355,7 @@ class Model:
                 value = own["ends"].astype(np.float64)
             else:
                 names, at = np.unique(grams.ending(k), return_inverse=True)
-                value = store.find(names)[1][at].astype(np.float64)
+                value = store.find(names)[1]["c"][at].astype(np.float64)
             kept = value - cut[np.minimum(value, 3).astype(np.int64)]
             if k == 1:
                 count = own["c"]
@@ -335,21 +379,23 @@ def train(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, order:
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     folder = f"{scratch.path}/model"
     of = lambda rows, name: sum(r[name] for r in rows)
-    kind, levels, cuts = "shard int, n1 long, n2 long, n3 long, n4 long", [], []
+    levels, cuts = [], []
     for level in range(order, 0, -1):
         shards = size // (TOP_BYTES if level == order else WORD_BYTES if level == 1 else MIDDLE_BYTES) + 1
-        if level == order:
-            count, write, schema = _count_top(order, shards), _write_top(folder, level), kind
-        else:
-            count, write = _count_below(levels[0], level, order, shards), _write_below(folder, level)
-            schema = f"{kind}, total long, distinct long, types long, more long"
-        sent = texts.mapInArrow(count, "shard int, h binary, v binary")
-        made = sent.groupBy("shard").applyInArrow(write, schema).collect()  # a row for each shard
-        filled = frozenset(r["shard"] for r in made)
-        levels.insert(0, Store(folder, f"gram{level}", shards, filled, "<u4") if level == order else Stats(folder, f"gram{level}", shards, filled, _WIDE))
+        slices, made = SLICES if 1 < level < order else 1, []
+        for low, high in ((shards * i // slices, shards * (i + 1) // slices) for i in range(slices)):
+            if level == order:
+                sent = texts.mapInArrow(_count_top(order, shards), "shard int, h binary, v binary")
+                write = _write_top(folder, level)
+            else:
+                sent = texts.mapInArrow(_count_below(levels[0], level, order, shards, low, high), "shard int, " + ", ".join(f"{name} binary" for name in _SENT.names))
+                write = _write_below(folder, level)
+            names = ["n1", "n2", "n3", "n4", *(["total", "distinct", "types", "more"] if level < order else [])]
+            made += sent.groupBy("shard").applyInArrow(write, "shard int, " + ", ".join(f"{n} long" for n in names)).collect()  # a row for each shard
+            del sent
+            free_shuffles(spark)
+        levels.insert(0, Stats(folder, f"gram{level}", shards, frozenset(r["shard"] for r in made), _TOP if level == order else _BELOW))
         cuts.insert(0, discounts(*(of(made, f"n{k}") for k in (1, 2, 3, 4))))
-        del sent
-        free_shuffles(spark)
     types = of(made, "types")
     freed = cuts[0][1] * of(made, "n1") + cuts[0][2] * of(made, "n2") + cuts[0][3] * of(made, "more")
     return Model(levels, cuts, of(made, "total"), of(made, "distinct"), types, freed / types if types else 1.0)

@@ -67,6 +67,16 @@ def test_kneser_ney_score(spark, order):
         assert rows[i] == pytest.approx(score(t), rel=1e-9)
 
 
+def test_counts_of_one_byte_and_larger_ones(tmp_path):
+    counts = np.array([[1, 0], [254, 3], [255, 2], [0, 300], [1 << 40, 7], [9, 9]])
+    h = np.arange(6, dtype=np.uint64) * np.uint64(1 << 32)
+    kneser_ney.put_stats(str(tmp_path), "k-0", h, counts)
+    store = kneser_ney.Stats(str(tmp_path), "k", 1, frozenset([0]), np.dtype([("c", "<i8"), ("n", "<i8")]))
+    there, value = store.find(np.sort(np.append(h, np.uint64(5))))
+    assert there.tolist() == [True, False, True, True, True, True, True]
+    assert [tuple(v) for v in value.tolist()] == [(1, 0), (0, 0), (254, 3), (255, 2), (0, 300), (1 << 40, 7), (9, 9)]
+
+
 def test_put_on_a_store(tmp_path, monkeypatch):
     kneser_ney.put(f"file://{tmp_path}/a", "x", np.arange(5))
     from pyarrow import fs
