@@ -278,9 +278,9 @@ def _count_below(above: Store, level: int, order: int, shards: int, low: int, hi
                 if not use.any():
                     continue
                 longer, back = np.unique(grams.ending(level + 1)[use], return_inverse=True)
-                found = above.find(longer)[1][back]
-                once = 1 / found["c"].astype(np.float64)  # of each n-gram, all its occurrences make one
-                value = found["c" if level + 1 == order else "ends"]
+                found = above.find(longer)[1]
+                once = (1 / found["c"].astype(np.float64))[back]  # of each n-gram, all its occurrences make one
+                value = found["c" if level + 1 == order else "ends"][back]
                 names, at = np.unique(np.concatenate([own[mine], context[ahead]]), return_inverse=True)
                 t, b = at[: mine.sum()], at[mine.sum() :]
                 share, once, value = once[mine[use]], once[ahead[use]], value[ahead[use]]
@@ -346,25 +346,20 @@ class Model:
         n, order = len(offsets) - 1, len(self.levels)
         grams = Grams(raw, offsets, order)
         p = np.full(len(grams.at), 1 / (self.distinct + 1))
-        follows = None  # statistics of the contexts, from the level below
         for k, (store, cut) in enumerate(zip(self.levels, self.cuts, strict=True), 1):
-            if k < order:
-                names, at = np.unique(np.concatenate([grams.ending(k), grams.before(k)]), return_inverse=True)
-                found = store.find(names)[1]
-                own, context = found[at[: len(p)]], found[at[len(p) :]]
-                value = own["ends"].astype(np.float64)
-            else:
-                names, at = np.unique(grams.ending(k), return_inverse=True)
-                value = store.find(names)[1]["c"][at].astype(np.float64)
-            kept = value - cut[np.minimum(value, 3).astype(np.int64)]
+            names, at = np.unique(grams.hashes[k - 1], return_inverse=True)
+            found = store.find(names)[1]
+            value = found["ends" if k < order else "c"].astype(np.float64)
+            kept = (value - cut[np.minimum(value, 3).astype(np.int64)])[at[grams.at]]
             if k == 1:
-                count = own["c"]
+                count = found["c"][at[grams.at]]
                 p = kept / self.types + self.spread * p if self.types else p
             else:
-                freed = cut[1] * follows["one"] + cut[2] * follows["two"] + cut[3] * follows["more"]
-                safe = np.maximum(follows["total"], 1)
-                p = np.where(follows["total"] > 0, kept / safe + freed / safe * p, p)
-            follows = context
+                p = np.where(total > 0, kept / np.maximum(total, 1) + freed * p, p)
+            if k < order:  # as contexts of the next level: the sum of counts, and the share set free
+                cut = self.cuts[k]
+                out = cut[1] * found["one"] + cut[2] * found["two"] + cut[3] * found["more"]
+                total, freed = found["total"][at[grams.at - 1]], (out / np.maximum(found["total"], 1))[at[grams.at - 1]]
         base = np.log10((count + 1) / (self.total + self.distinct + 1))
         sums = [np.bincount(grams.row, x, n) for x in (count > 0, base, np.log10(p))]
         return np.bincount(grams.row, minlength=n), sums[0].astype(np.int64), sums[1], sums[2]
