@@ -204,12 +204,26 @@ def extend(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return wordhash.mix(before * np.uint64(0x9E3779B97F4A7C15) + token)
 
 
-def _send(shards: int, h: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
-    """Sorted hashes and their data, one row for each shard."""
+def packed(h: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Slices of sorted hashes as differences, all first bytes, then all second bytes and so
+    on: the leading bytes are zero and vanish when the shuffle is compressed."""
+    gaps = np.diff(h, prepend=np.uint64(0))
+    gaps[cuts[:-1]] = h[cuts[:-1]]
+    return pa.array([gaps[a:b].view(np.uint8).reshape(-1, 8).T.tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+
+
+def unpacked(rows: list[bytes]) -> np.ndarray:
+    """The hashes of all slices, one after the other."""
+    each = (np.ascontiguousarray(np.frombuffer(row, np.uint8).reshape(8, -1).T).view("<u8")[:, 0] for row in rows)
+    return np.concatenate([np.cumsum(gaps, dtype=np.uint64) for gaps in each])
+
+
+def _send(shards: int, h: np.ndarray, data: np.ndarray, hashes=binary) -> pa.RecordBatch:
+    """Sorted hashes (as hashes writes them) and their data, one row for each shard."""
     shard = shard_of(h, shards)
     used = np.unique(shard)
     cuts = np.r_[np.searchsorted(shard, used), len(h)]
-    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), binary(h, cuts), binary(data, cuts)], names=["shard", "h", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), hashes(h, cuts), binary(data, cuts)], names=["shard", "h", "v"])
 
 
 def _count_top(order: int, shards: int):
@@ -217,14 +231,14 @@ def _count_top(order: int, shards: int):
         for batch in batches:
             for _, _, raw, offsets in wordhash.blocks(batch.column(0), BLOCK):
                 h, c = np.unique(Grams(raw, offsets, order).ending(order), return_counts=True)
-                yield _send(shards, h, c.astype("<u4"))
+                yield _send(shards, h, c.astype("<u4"), packed)
 
     return run
 
 
 def _write_top(folder: str, level: int):
     def run(table: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(table["h"].to_pylist()), "<u8")
+        h = unpacked(table["h"].to_pylist())
         c = np.frombuffer(b"".join(table["v"].to_pylist()), "<u4")
         order = np.argsort(h, kind="stable")
         h, c = h[order], c[order]
@@ -255,8 +269,8 @@ def _send_stats(shards: int, stats: np.ndarray) -> pa.RecordBatch:
     shard = shard_of(h, shards)
     used = np.unique(shard)
     cuts = np.r_[np.searchsorted(shard, used), len(h)]
-    fields = [binary(np.ascontiguousarray(stats[name]), cuts) for name in _SENT.names]
-    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *fields], names=["shard", *_SENT.names])
+    fields = [binary(np.ascontiguousarray(stats[name]), cuts) for name in _SENT.names[1:]]
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), packed(h, cuts), *fields], names=["shard", *_SENT.names])
 
 
 def _count_below(above: Store, level: int, order: int, shards: int, low: int, high: int):
@@ -308,8 +322,10 @@ def _count_below(above: Store, level: int, order: int, shards: int, low: int, hi
 
 def _write_below(folder: str, level: int):
     def run(table: pa.Table) -> pa.Table:
-        every = np.empty(sum(len(x) for x in table["h"].to_pylist()) // 8, _SENT)
-        for name in _SENT.names:
+        h = unpacked(table["h"].to_pylist())
+        every = np.empty(len(h), _SENT)
+        every["h"] = h
+        for name in _SENT.names[1:]:
             every[name] = np.frombuffer(b"".join(table[name].to_pylist()), _SENT[name])
         every = added([every])
         out = {name: np.rint(every[name]).astype(np.int64) for name in _FIELDS}

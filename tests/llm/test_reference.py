@@ -22,6 +22,17 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
 
 
+def test_packed_hashes():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 1000):
+        h = np.sort(np.r_[rng.integers(0, 2**64, n, np.uint64), np.array([0, 7, 7, 2**64 - 1], np.uint64)])
+        cuts = np.unique(np.r_[0, rng.integers(1, len(h), 3), len(h)])
+        rows = kneser_ney.packed(h, cuts).to_pylist()
+        assert [kneser_ney.unpacked([row]).tolist() for row in rows] == [h[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
+        assert kneser_ney.unpacked(rows).tolist() == h.tolist()
+    assert kneser_ney.packed(np.zeros(0, np.uint64), np.array([0])).to_pylist() == []
+
+
 def plain_kneser_ney(train, order=2):
     """A function from a text to its log10 probability, by the textbook."""
     full = Counter()
