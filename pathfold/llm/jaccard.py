@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pathfold.llm import wordhash
 from pathfold.llm.columns import column, spare
 from pathfold.llm.components import components
+from pathfold.llm.memory import tidy, tidy_group
 from pathfold.scratch import Scratch, free_shuffles
 
 WORDS = 5
@@ -371,12 +372,12 @@ def items_of(texts: DataFrame, meta: DataFrame, sets: DataFrame, scratch: Scratc
     parts = total // per_task + 1
     often = meta.filter("n < 0").groupBy("a").agg(F.sum("b").alias("c")).filter(F.col("c") >= total // HOT + 1).select("a")
     hot = np.sort(np.array([r["a"] for r in often.collect()], np.int64).view(np.uint64))  # HOT at most
-    dealt = texts.filter("id IS NOT NULL").select("text").mapInArrow(_deal(parts, hot), "bucket int, keys binary, counts binary, hashes binary")
-    counted = dealt.groupBy("bucket").applyInArrow(_count(parts, parts), "part int, keys binary, counts binary, shared binary")
+    dealt = texts.filter("id IS NOT NULL").select("text").mapInArrow(tidy(_deal(parts, hot)), "bucket int, keys binary, counts binary, hashes binary")
+    counted = dealt.groupBy("bucket").applyInArrow(tidy_group(_count(parts, parts)), "part int, keys binary, counts binary, shared binary")
     counted = scratch.write(counted, "counted")
     del dealt
     free_shuffles(texts.sparkSession)  # all hashes; what several sets share is far less
-    found = counted.groupBy("part").applyInArrow(_prepare, "n long, a long, b long, spare long, p1 long, p2 long, prefix array<long>, shared array<long>")
+    found = counted.groupBy("part").applyInArrow(tidy_group(_prepare), "n long, a long, b long, spare long, p1 long, p2 long, prefix array<long>, shared array<long>")
     items = scratch.write(found.join(sets.select("id", "n", "a", "b"), ["n", "a", "b"]).drop("a", "b"), "items")
     scratch.drop("counted")
     return items
@@ -388,7 +389,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "jaccard")
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"))
-    meta = scratch.write(texts.mapInArrow(_describe, f"id {kind}, n long, a long, b long"), "meta")
+    meta = scratch.write(texts.mapInArrow(tidy(_describe), f"id {kind}, n long, a long, b long"), "meta")
     sets = meta.filter("id IS NOT NULL AND n > 0").groupBy("n", "a", "b").agg(F.min("id").alias("least"))
     sets = scratch.write(sets.withColumn("id", F.monotonically_increasing_id()), "sets-of-docs")
     items = items_of(texts, meta, sets, scratch)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from pathfold.llm import wordhash
 from pathfold.llm.columns import column, spare
+from pathfold.llm.memory import tidy
 
 #: Labelled rows learnt from at most (a uniform draw by hash), and passes over them.
 SAMPLE = 12000
@@ -130,8 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 sets = [low[cuts[i] : cuts[i + 1]].tobytes() for i in range(to - at)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(sets, pa.binary())], names=["key", "label", "features"])
 
-    found = rows.select("key", "label", "text").mapInArrow(hashed, "key long, label int, features binary")
-    model = found.repartition(1).mapInArrow(_learn, "live binary, weight binary, bias double").first()
+    found = rows.select("key", "label", "text").mapInArrow(tidy(hashed), "key long, label int, features binary")
+    model = found.repartition(1).mapInArrow(tidy(_learn), "live binary, weight binary, bias double").first()
     return np.frombuffer(model["live"], np.uint64), np.frombuffer(model["weight"], "<f8"), model["bias"]
 
 
@@ -165,7 +166,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
     place = [f"c{i}" for i in range(len(columns))]  # mapInArrow takes plain names only
     schema = ", ".join(f"{p} {docs.schema[c].dataType.simpleString()}" for p, c in zip(place, columns, strict=True)) + ", score double"
     rows = docs.select(*(column(c).alias(p) for p, c in zip(place, columns, strict=True)), column(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(run, schema).toDF(*columns, name)
+    scored = rows.mapInArrow(tidy(run), schema).toDF(*columns, name)
     if keep:
         return scored
     held = F.coalesce(F.crc32(column(id_col).cast("string")) % 3 == 1, F.lit(False))

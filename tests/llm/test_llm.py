@@ -5,10 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pathfold.llm import bpe, jaccard, kneser_ney, langid, licenses, mixing, radix_dedup, suffix_dedup, tiff, toxicity
+from pathfold.llm import bpe, jaccard, kneser_ney, langid, licenses, memory, mixing, radix_dedup, suffix_dedup, tiff, toxicity
 
 LONG = " ".join(f"word{i}" for i in range(3000))
 TEXTS = [None, "", "Same Text here", "same text HERE", "one two three four five six", "one two three four five six", LONG, LONG + " end", "é ü 漢字 \x1c  x", "   ", "a", "<|endoftext|> hi"]
@@ -244,3 +245,9 @@ def test_pipeline_keeps_columns(spark, tmp_path):
         out = stage(spark, docs, data)
         assert out.columns == docs.columns, name
     assert docs.filter(F.col("text").isNull()).count() == 0
+
+
+def test_memory_is_given_back():
+    batches = [pa.RecordBatch.from_pydict({"x": [i]}) for i in range(3)]
+    assert list(memory.tidy(iter)(iter(batches))) == batches and list(memory.tidy(iter)(iter([]))) == []
+    assert memory.tidy_group(lambda t: t.slice(1))(pa.Table.from_batches(batches)).to_pydict() == {"x": [1, 2]}
