@@ -50,15 +50,22 @@ class Scratch:
 
     def close(self) -> None:
         self._delete(self.path)
+        if self in _OPEN:
+            _OPEN.remove(self)
 
     def _delete(self, path: str) -> None:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def opened() -> list[Scratch]:
+    """The folders that are not closed, oldest first."""
+    return list(_OPEN)
+
+
 @atexit.register
 def _close_all() -> None:
-    for scratch in _OPEN:
+    for scratch in opened():
         with contextlib.suppress(Exception):
             scratch.close()
 
