@@ -44,7 +44,7 @@ WORDS = 5
 #: Similarity of at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 3, 4
 #: Shingles that one task of the count holds, about: at least and, for large inputs, at most.
-PER_TASK, MOST_PER_TASK = 3_000_000, 32_000_000
+PER_TASK, MOST_PER_TASK = 2_000_000, 32_000_000
 #: Shingles with more than one in so many of all shingle places are not counted.
 HOT = 1 << 16
 #: A task reports such a shingle if it meets it so often.
@@ -180,7 +180,8 @@ def _count(buckets: int, ranges: int):
         keys, counts, h = _together(table, "keys", _KEY), _together(table, "counts", "<i4"), _together(table, "hashes", "<u8")
         first, back = distinct_keys(keys)
         once = np.repeat(first[back] == np.arange(len(keys)), counts)  # a set may come from several blocks
-        h, doc, keys = h[once], np.repeat(back, counts)[once], keys[first]
+        h, doc, keys = h[once], np.repeat(back.astype(np.int32), counts)[once], keys[first]
+        del once
         if table["bucket"][0].as_py() >= buckets:
             df = np.full(len(h), 2**32 - 1, np.uint32)
         else:
@@ -188,7 +189,7 @@ def _count(buckets: int, ranges: int):
             h, doc = h[order], doc[order]
             start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
             size = np.diff(np.r_[start, len(h)])
-            df = np.repeat(size, size)
+            df = np.repeat(size.astype(np.uint32), size)
             several = df > 1
             h, doc, df = h[several], doc[several], df[several]
         order = np.argsort(doc, kind="stable")  # distinct keys are in order of a, so of their range
