@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,6 +243,32 @@ def test_hot_shingles_and_large_lists(spark, monkeypatch):
     assert got == {i: find(i) for i in sets}
 
 
+def test_count_in_passes(spark, monkeypatch):
+    """However many buckets a text's shingles are dealt to, no pass sends much more than the
+    hashes alone would be, and all passes together send each shingle of each set once."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 60)) for _ in range(300)]
+    texts += [f"{t} end" for t in texts[:40]] + texts[:5]
+    sets = jaccard.shingle_sets(*wordhash.flat(pa.array(texts)))
+    total, buckets, hot = sum(map(len, sets)), 200, np.sort(sets[0][:2])
+    turns, got = jaccard.passes(total, len(texts), buckets), []
+    assert jaccard.passes(total, len(texts), 1) <= turns and jaccard.passes(0, 0, 1) == 1
+    for k in range(turns):
+        deal = jaccard._deal(buckets, hot, k * buckets // turns, (k + 1) * buckets // turns)
+        sent = pa.Table.from_batches(deal(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+        assert sum(sent[c].nbytes for c in ("keys", "counts", "hashes")) < 1.25 * jaccard.PER_SHINGLE * total
+        for row in sent.to_pylist():
+            keys, counts, h = (jaccard.from_planes([row[c]], kind) for c, kind in (("keys", jaccard._KEY), ("counts", "<i4"), ("hashes", "<u8")))
+            got += zip(np.repeat(keys["a"], counts).tolist(), h.tolist(), strict=True)
+    assert sorted(got) == sorted({(int(a), int(x)) for a, s in zip(jaccard.keys_of(sets)["a"], sets, strict=True) for x in s})
+
+    rows = list(enumerate(texts))
+    whole = {r["doc_id"]: tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    monkeypatch.setattr(jaccard, "PER_TASK", 500)
+    parts = {r["doc_id"]: tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert parts == whole and all(parts[i][2] == i - 300 for i in range(300, 340)) and all(parts[i][2] == i - 340 for i in range(340, 345))
+
+
 def test_broken_media(spark):
     def file(*tags):
         return b"II" + struct.pack("<HIH", 42, 8, len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0) + b"\0" * 64
