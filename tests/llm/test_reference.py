@@ -269,6 +269,17 @@ def test_count_in_passes(spark, monkeypatch):
     assert parts == whole and all(parts[i][2] == i - 300 for i in range(300, 340)) and all(parts[i][2] == i - 340 for i in range(340, 345))
 
 
+def test_pre_split():
+    """Both ways to split a text give what the regex module gives, for every character."""
+    import regex
+
+    split, whole = bpe.splitter(), regex.compile(bpe.PATTERN).findall
+    every = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x10000), 0x10400, 0x1D7CE, 0x1F600, 0xF0000]]
+    texts = ["", "it's we'll  \n\tx1\x1c\x1d y\x85\u3000z  ", "a \U00010400b \U0001d7ce  \U0001f600!", "".join(every)]
+    texts += [f"a{c} {c}{c}1  {c}\n" for c in every[::7]]
+    assert [split(t) for t in texts] == [whole(t) for t in texts]
+
+
 def test_broken_media(spark):
     def file(*tags):
         return b"II" + struct.pack("<HIH", 42, 8, len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + struct.pack("<I", 0) + b"\0" * 64
