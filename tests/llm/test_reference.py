@@ -89,6 +89,13 @@ def test_counts_of_one_byte_and_larger_ones(tmp_path):
     assert [tuple(v) for v in value.tolist()] == [(1, 0), (0, 0), (254, 3), (255, 2), (0, 300), (1 << 40, 7), (9, 9)]
 
 
+def test_distinct_hashes():
+    x = np.random.default_rng(2).integers(0, 50, 400).astype(np.uint64)
+    h, some, times = kneser_ney.distinct(x)
+    assert x[some].tolist() == h.tolist() and dict(zip(h.tolist(), times.tolist(), strict=True)) == Counter(x.tolist()) and sorted(h) == h.tolist()
+    assert [len(y) for y in kneser_ney.distinct(x[:0])] == [0, 0, 0]
+
+
 def test_put_on_a_store(tmp_path, monkeypatch):
     kneser_ney.put(f"file://{tmp_path}/a", "x", np.arange(5))
     from pyarrow import fs
