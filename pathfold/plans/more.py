@@ -256,7 +256,8 @@ def graded_choices(spark, d):
 def parsed_commits(spark, d):
     """The history written as a log, and read again."""
     v = View(spark, d)
-    head = v.commits.join(v.commit_files.select("hash").distinct(), "hash").select(F.col("hash").cast("string").alias("repo"), F.lit(0).cast("long").alias("pos"), F.concat(F.lit("\x02"), F.col("hash").cast("string"), F.lit("\x1fA\x1fa@b\x1f100\x1fsubject")).alias("line"))
+    first = F.lit(-(1 << 63))  # before any path
+    head = v.commit_files.select("hash").distinct().select(F.col("hash").cast("string").alias("repo"), first.alias("pos"), F.concat(F.lit("\x02"), F.col("hash").cast("string"), F.lit("\x1fA\x1fa@b\x1f100\x1fsubject")).alias("line"))
     row = v.commit_files.select(F.col("hash").cast("string").alias("repo"), F.col("path").cast("long").alias("pos"), F.concat(F.col("added").cast("string"), F.lit("\t0\tf"), F.col("path").cast("string"), F.lit(".c")).alias("line"))
     return gitlog.parse_log(head.unionAll(row))[1].groupBy("hash").agg(F.count(F.lit(1)).alias("files"), F.sum("added").alias("added"))
 
