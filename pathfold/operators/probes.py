@@ -7,27 +7,42 @@ from pyspark.sql import functions as F
 
 from pathfold.functions import scalar
 from pathfold.operators import lookup
+from pathfold.parts import deal
+from pathfold.scratch import Scratch
 
 FEWEST, MOST = 2, 12
 
 
 def blast_questions(edges: DataFrame, coverage: DataFrame | None = None, tests: DataFrame | None = None) -> DataFrame:
     """symbol, expected: two-hop dependents and covering tests, if there are 2 to 12. Tests
-    (node) are no dependents, but paths may pass through them."""
-    e = edges.select("src", "dst").distinct()
-    one = e.select(F.col("dst").alias("symbol"), F.col("src").alias("item"))
-    direct = one.filter("symbol <> item")
-    if tests is not None:
-        direct = direct.join(tests.select(F.col("node").alias("item")), "item", "left_anti")
-    hubs = direct.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST).select("symbol")
-    one = one.join(hubs, "symbol", "left_anti")  # with over 12 direct dependents they can't qualify
-    two = one.join(e.select(F.col("dst").alias("item"), F.col("src").alias("far")), "item").select("symbol", F.col("far").alias("item"))
-    every = one.unionAll(two)
-    if tests is not None:
-        every = every.join(tests.select(F.col("node").alias("item")), "item", "left_anti").select("symbol", "item")
+    (node) are no dependents, but paths may pass through them.
+
+    The edges to each symbol and the pairs two hops apart are counted first and dealt by symbol
+    in as many partitions as that takes.
+    """
+    scratch = Scratch(edges.sparkSession, "blast")
+    given = scratch.write(edges.select("src", "dst"), "given")
+    e = deal(given, given.count(), "src").distinct().select(F.col("dst").alias("symbol"), F.col("src").alias("item"))
+    plain = tests.select(F.col("node").alias("item"), F.lit(True).alias("test")).distinct() if tests is not None else None
+    e = e.withColumn("test", F.lit(False)) if plain is None else e.join(plain, "item", "left").withColumn("test", F.coalesce("test", F.lit(False)))
+    e = scratch.write(e.select("symbol", "item", "test"), "edges")
+    one = deal(e, e.count(), "symbol")
+    into = one.groupBy("symbol").agg(F.count(F.lit(1)).alias("all"), F.count_if(~F.col("test") & (F.col("symbol") != F.col("item"))).alias("n"))
+    into = scratch.write(into, "into")
+    # with over 12 direct dependents a symbol can't qualify, nor if one of them has over 13: all but itself are its own
+    item = into.select(F.col("symbol").alias("item"), F.col("all").alias("fars"), (F.col("n") > MOST + 1).alias("wide"))
+    met = scratch.write(one.join(into.filter(F.col("n") <= MOST).select("symbol"), "symbol").join(item, "item", "left").select("symbol", "item", "test", "fars", "wide"), "met")
+    wide = met.filter("wide").select("symbol").distinct()
+    met = met.join(wide, "symbol", "left_anti").select("symbol", "item", "test", "fars")
+    met = scratch.write(met, "near")
+    pairs = met.agg(F.coalesce(F.sum(1 + F.coalesce("fars", F.lit(0))), F.lit(0))).first()[0]
+    two = deal(met.select("symbol", "item"), pairs, "item").join(e.select(F.col("symbol").alias("item"), F.col("item").alias("far"), "test"), "item").select("symbol", F.col("far").alias("item"), "test")
+    every = met.select("symbol", "item", "test").unionAll(two).filter("NOT test").select("symbol", "item")
     if coverage is not None:
-        every = every.unionAll(coverage.filter("fraction >= 0.1").select("symbol", F.col("test").alias("item")))
-    every = every.filter("item <> symbol").distinct()
+        left_out = into.filter(F.col("n") > MOST).select("symbol").unionAll(wide)
+        covered = coverage.filter("fraction >= 0.1").select("symbol", F.col("test").alias("item"))
+        every = every.unionAll(covered.join(left_out, "symbol", "left_anti"))
+    every = deal(every.filter("item <> symbol"), pairs, "symbol").distinct()
     small = every.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(FEWEST, MOST))
     return every.join(small, "symbol").groupBy("symbol").agg(F.array_sort(F.collect_list("item")).alias("expected"))
 
